@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import arrow_output, mixing, packing, secrets, sharding
+from . import arrow_output, mixing, ngram_join, packing, secrets, sharding
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op9_arrow_output": arrow_output.op9_arrow_output,
     "op10_secrets": secrets.op10_secrets,
 }
-SQL = {"op6_mixing": mixing.OP6_SQL, "op10_secrets": secrets.OP10_SQL}
+SQL = {"op2_ngram_join": ngram_join.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op10_secrets": secrets.OP10_SQL}
