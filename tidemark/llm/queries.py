@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import arrow_output, mixing, ngram_join, packing, secrets, sharding
+from . import arrow_output, embedding_dedup, mixing, ngram_join, packing, secrets, sharding
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_arrow_output": arrow_output.op9_arrow_output,
     "op10_secrets": secrets.op10_secrets,
 }
-SQL = {"op2_ngram_join": ngram_join.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op10_secrets": secrets.OP10_SQL}
+SQL = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op10_secrets": secrets.OP10_SQL}
