@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import string
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 
@@ -36,6 +35,27 @@ def check_splittable(path: str) -> bool:
     return bool(drops and plain and not spec.get("truncation") and not spec.get("padding"))
 
 
+#: A pre-tokenizer pattern whose letter runs and punctuation runs are tokens of their own.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+
+
+def plain_tokenizer(spec: dict):
+    """The same model for words that the normalizers leave alone and that are one pre-token.
+
+    None if the file's normalizers or pattern are others than the known ones. A word's last token
+    then ends in the model's end-of-word suffix."""
+    from tokenizers import Tokenizer
+
+    normalizers = (spec.get("normalizer") or {}).get("normalizers", [])
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    known = {n["type"] for n in normalizers} == PLAIN_NORMALIZERS and (first.get("pattern") or {}).get("Regex") == PLAIN_PATTERN
+    if not known or not spec["model"].get("end_of_word_suffix"):
+        return None
+    pre = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": pre}}))
+
+
 class Encoder:
     """texts -> little-endian unsigned 32-bit ids, as bytes."""
 
@@ -45,11 +65,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = check_splittable(path)
         with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens", [])
+            spec = json.load(f)
+        added = spec.get("added_tokens", [])
         #: an added token stands between words that are encoded in one call
         self.mark, self.mark_id = (added[-1]["content"], added[-1]["id"]) if added else ("", -1)
+        self.plain = plain_tokenizer(spec) if self.split else None
+        if self.plain:
+            vocab = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.cache: dict[bytes, bytes] = {}
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Encode lower-case letter runs and punctuation runs."""
+        for i in range(0, len(words), RUN_WORDS):
+            run = words[i : i + RUN_WORDS]
+            (got,) = self.plain.encode_batch_fast([b" ".join(run).decode("utf-8")], add_special_tokens=False)
+            ids = np.asarray(got.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) != len(run):
+                raise ValueError("the tokenizer did not keep words apart")
+            self.cache.update((w, raw[a:b]) for w, a, b in zip(run, [0, *ends], ends, strict=False))
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -72,28 +109,36 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return [i.tobytes() for i in self._encode(texts)]
-        words = [t.encode("utf-8").split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        words = [t.encode("utf-8").split() for t in texts]
+        known = [list(map(self.cache.get, w)) for w in words]
+        gaps = [[i for i, v in enumerate(k) if v is None] if None in k else [] for k in known]
+        new = {w[i] for w, g in zip(words, gaps, strict=True) for i in g}
+        if new:
+            self._extend(new)
+            for w, k, g in zip(words, known, gaps, strict=True):
+                for i in g:
+                    k[i] = self.cache[w[i]]
+        return [b"".join(k) for k in known]
+
+    def _extend(self, new: set[bytes]) -> None:
         cache, whole, parts = self.cache, [], []
-        new: set[bytes] = set()
-        for w in words:
-            new.update(filterfalse(cache.__contains__, w))
         for w in new:
+            # letters with trailing ASCII punctuation are two pre-tokens, whatever their case
             core = w.rstrip(PUNCTUATION)
-            lower = core.lower()
-            # ASCII letters with trailing punctuation are two pre-tokens, whatever their case
-            if lower != w and core.isalpha():
-                parts.append((w, lower, w[len(core) :]))
+            if core.isalpha() or not core:
+                parts.append((w, core.lower(), w[len(core) :]))
+            elif self.plain and not core.isascii() and (text := core.decode("utf-8")).isalpha() and max(text) <= "\xff":
+                parts.append((w, text.lower().encode("utf-8"), w[len(core) :]))
             else:
                 whole.append(w)
-        need = {p for _, a, b in parts for p in (a, b)} - cache.keys() - {b""}
-        self._learn([*whole, *(need - set(whole))])
         cache[b""] = b""
+        need = list({p for _, a, b in parts for p in (a, b)} - cache.keys())
+        (self._learn_plain if self.plain else self._learn)(need)
+        self._learn(whole)
         for w, a, b in parts:
             cache[w] = cache[a] + cache[b]
-        get = cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
 
 
 @lru_cache(maxsize=2)
