@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import arrow_output, embedding_dedup, mixing, ngram_join, packing, secrets, sharding
+from . import arrow_output, embedding_dedup, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
