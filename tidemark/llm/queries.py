@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_output, embedding_dedup, mixing, ngram_join, packing, quality, secrets, sharding
+from . import arrow_output, embedding_dedup, fingerprints, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_arrow_output": arrow_output.op9_arrow_output,
     "op10_secrets": secrets.op10_secrets,
 }
