@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_output, embedding_dedup, fingerprints, mixing, ngram_join, packing, quality, secrets, sharding
+from . import arrow_output, embedding_dedup, fingerprints, html_extract, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_arrow_output": arrow_output.op9_arrow_output,
     "op10_secrets": secrets.op10_secrets,
 }
