@@ -581,3 +581,31 @@ def _lr(spark, sf):
     split = T.time_split(_matrix(spark, sf)).persist()
     bundle = T.fit_target(split, "y1", cfg)
     return T.predict(bundle, split.where("split = 'val'"), "prob_1").select("product_id", "ts_end", "y1", "prob_1")
+
+
+@query("stream_equals_batch", None)
+def _stream(spark, sf):
+    """Indicators of a stream of bar files beside the batch result: largest difference per product."""
+    import tempfile
+    import uuid
+
+    from .operators.chunks import with_chunks
+    from .operators.windows import ewm
+    from .schemas import CANDLES
+    from .streaming.indicators import running_indicators
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    root = f"{shared}/stream-{uuid.uuid4().hex}"
+    bars = C.completed(candles(spark, sf, 300), ntz(AS_OF_TEXT))
+    for k, (a, b) in enumerate((("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-21"), ("2024-01-21", "2024-02-01"))):
+        part = bars.where((F.col("ts_start") >= ntz(f"{a} 00:00:00")) & (F.col("ts_start") < ntz(f"{b} 00:00:00"))).drop("ts_end")
+        part.coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{root}/bars")
+    stream = spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars")
+    out = running_indicators(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/state")
+    out.trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{root}/out")).start().awaitTermination()
+    live = spark.read.parquet(f"{root}/out")
+    batch = P.trend(ewm(ewm(with_chunks(bars), {"close": "_fast"}, 2 / 13), {"close": "_slow"}, 2 / 27)).where("core")
+    batch = batch.select("product_id", "ts_start", F.col("atr").alias("_atr"), F.col("adx").alias("_adx"), ((F.col("_fast") - F.col("_slow")) / (F.col("close") + S.EPS)).alias("_ema"))
+    both = batch.join(live, ["product_id", "ts_start"], "full")
+    apart = F.greatest(F.abs(F.col("atr") - F.col("_atr")), F.abs(F.col("adx") - F.col("_adx")), F.abs(F.col("ema_diff_pct") - F.col("_ema")))
+    return both.groupBy("product_id").agg(F.count(F.lit(1)).alias("bars"), F.count_if(apart.isNull()).alias("unmatched"), F.max(apart).alias("largest_difference"))
