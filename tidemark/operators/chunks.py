@@ -29,10 +29,17 @@ def numbered(rows: DataFrame, order: str = "ts_start", out: str = "i") -> DataFr
     return joined.withColumn(out, F.col("_before") + F.col("_at")).drop("_day", "_at", "_p", "_d", "_before")
 
 
-def with_chunks(rows: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """rows with i, chunk and core (false for rows lent to the next chunk)."""
+def with_chunks(rows: DataFrame, chunk: int = CHUNK, halo: int = HALO, ahead: int = 0) -> DataFrame:
+    """rows with i, chunk and core (false for rows lent to a neighbouring chunk).
+
+    halo: last rows lent to the next chunk; ahead: first rows lent to the one before."""
     own = F.floor(F.col("i") / chunk).cast("int")
-    lent = F.col("i") % chunk >= chunk - halo
-    out = numbered(rows).withColumn("_own", own)
-    out = out.withColumn("chunk", F.explode(F.when(lent, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    at = F.col("i") % chunk
+    nobody = F.array().cast("array<int>")
+    lent = F.concat(
+        F.array("_own"),
+        F.when(at >= chunk - halo, F.array(F.col("_own") + 1)).otherwise(nobody) if halo else nobody,
+        F.when((at < ahead) & (F.col("_own") > 0), F.array(F.col("_own") - 1)).otherwise(nobody) if ahead else nobody,
+    )
+    out = numbered(rows).withColumn("_own", own).withColumn("chunk", F.explode(lent))
     return out.withColumn("core", F.col("chunk") == F.col("_own")).drop("_own")

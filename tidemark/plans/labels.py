@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import forward_asof
+from ..operators.chunks import CHUNK, with_chunks
 from ..sources.candles import keep_last
 
 
-def future_max(bars: DataFrame, horizon: int, *, by_time: bool = False) -> DataFrame:
+def future_max(bars: DataFrame, horizon: int, *, by_time: bool = False, chunk: int = CHUNK) -> DataFrame:
     """1-minute bars with h_future: the highest high of the bar and the horizon - 1 rows after it.
 
-    by_time: the bars within horizon minutes instead of a number of rows."""
-    w = Window.partitionBy("product_id").orderBy("ts_start")
+    Each chunk of a product borrows the first rows of the next one. by_time: the bars within
+    horizon minutes instead of a number of rows (never more rows, for bars a minute apart)."""
+    rows = with_chunks(bars, max(chunk, horizon), halo=0, ahead=horizon - 1)
     if by_time:
         seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts_start"))
-        w = Window.partitionBy("product_id").orderBy(seconds).rangeBetween(0, horizon * 60 - 1)
+        w = Window.partitionBy("product_id", "chunk").orderBy(seconds).rangeBetween(0, horizon * 60 - 1)
     else:
-        w = w.rowsBetween(0, horizon - 1)
-    return bars.withColumn("h_future", F.max("high").over(w))
+        w = Window.partitionBy("product_id", "chunk").orderBy("i").rowsBetween(0, horizon - 1)
+    return rows.withColumn("h_future", F.max("high").over(w)).where("core").drop("chunk", "core")
 
 
 def labels(features: DataFrame, minute_bars: DataFrame, horizon: int, *, targets: dict[str, float] | None = None, as_of: Column | None = None, drop_censored: bool = False, by_time: bool = False) -> DataFrame:
@@ -33,8 +35,8 @@ def labels(features: DataFrame, minute_bars: DataFrame, horizon: int, *, targets
         bars = bars.where(F.col("ts_start") + F.expr("INTERVAL 1 MINUTE") <= as_of)
     ahead = future_max(bars, horizon, by_time=by_time)
     if drop_censored:
-        w = Window.partitionBy("product_id").orderBy(F.col("ts_start").desc())
-        ahead = ahead.withColumn("h_future", F.when(F.row_number().over(w) >= horizon, F.col("h_future")))
+        ends = ahead.groupBy(F.col("product_id").alias("_p")).agg((F.max("i") + 1).alias("_n"))
+        ahead = ahead.join(ends, F.col("product_id") == F.col("_p")).withColumn("h_future", F.when(F.col("i") <= F.col("_n") - horizon, F.col("h_future")))
     out = forward_asof(features, ahead.select("product_id", "ts_start", "h_future"), "ts_end", "ts_start", "h_future")
     if drop_censored:
         out = out.where("h_future IS NOT NULL")
