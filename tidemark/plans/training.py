@@ -85,7 +85,9 @@ def spline_columns(x: str, lo: float, hi: float, knots: int = KNOTS, degree: int
     step = (hi - lo) / (knots - 1)
     at = [lo + step * k for k in range(-degree, knots + degree)]
     v = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(x)))
-    basis = [F.when((v >= a) & ((v < b) if k != degree + knots - 2 else (v <= b)), 1.0).otherwise(0.0) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+    end = degree + knots - 2  # the last interval holds its right end too; those beyond are empty
+    inside = lambda k, a, b: F.lit(0.0) if k > end else F.when((v >= a) & ((v <= b) if k == end else (v < b)), 1.0).otherwise(0.0)
+    basis = [inside(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
     for d in range(1, degree + 1):
         basis = [(v - at[k]) / (at[k + d] - at[k]) * basis[k] + (at[k + d + 1] - v) / (at[k + d + 1] - at[k + 1]) * basis[k + 1] for k in range(len(basis) - 1)]
     return basis[:-1]

@@ -7,24 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 
-#: Priority bases by quote, in rank order.
-PRIORITY = {
-    "USD": (
-        "BTC ETH SOL XRP ADA DOGE AVAX LINK DOT LTC BCH ATOM UNI AAVE ETC FIL NEAR ALGO HBAR ARB OP INJ SUI APT SEI IMX GRT RNDR STX"
-    ).split(),
-    "USDT": "BTC ETH SOL XRP ADA DOGE AVAX LINK DOT".split(),
-    "USDC": "BTC ETH SOL XRP ADA DOGE".split(),
-}
+#: The priority list, in rank order.
+PRIORITY = [
+    "BTC-USD", "ETH-USD", "SOL-USD", "XRP-USD", "ADA-USD", "DOGE-USD", "AVAX-USD", "LINK-USD", "DOT-USD", "LTC-USD", "BCH-USD",
+    "ATOM-USD", "UNI-USD", "AAVE-USD", "ETC-USD", "FIL-USD", "NEAR-USD", "ALGO-USD", "HBAR-USD", "ARB-USD", "OP-USD", "INJ-USD",
+    "SUI-USD", "APT-USD", "SEI-USD", "IMX-USD", "GRT-USD", "RNDR-USD", "STX-USD",
+    "BTC-USDT", "ETH-USDT", "SOL-USDT", "XRP-USDT", "ADA-USDT", "DOGE-USDT", "AVAX-USDT", "LINK-USDT", "DOT-USDT",
+    "BTC-USDC", "ETH-USDC", "SOL-USDC", "XRP-USDC", "ADA-USDC", "DOGE-USDC",
+]
 UNRANKED = 1_000_000
 
 
-def priority_ids() -> list[str]:
-    return [f"{base}-{quote}" for quote, bases in PRIORITY.items() for base in bases]
-
-
 def priority_rank(id_: Column) -> Column:
     """Place in the priority list; beyond it 1,000,000."""
-    ranks = F.create_map(*[x for i, p in enumerate(priority_ids()) for x in (F.lit(p), F.lit(i))])
+    ranks = F.create_map(*[x for i, p in enumerate(PRIORITY) for x in (F.lit(p), F.lit(i))])
     return F.coalesce(F.try_element_at(ranks, id_), F.lit(UNRANKED))
 
 
@@ -66,7 +62,7 @@ def env_universe(spark: SparkSession, cfg: Settings) -> DataFrame:
 
 def fallback_universe(spark: SparkSession, cfg: Settings) -> DataFrame:
     """The priority list itself, when the catalog cannot be read."""
-    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, priority_ids()))).alias("rank", "id"))
+    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, PRIORITY))).alias("rank", "id"))
     rows = rows.select("id", F.substring_index("id", "-", 1).alias("base"), F.substring_index("id", "-", -1).alias("quote"), F.lit("fallback").alias("status"), "rank")
     rows = rows.where(F.col("quote").isin(*cfg.quote_allowlist) & ~is_stable(cfg))
     return rows.orderBy("rank").limit(cfg.universe_max) if cfg.universe_max > 0 else rows
