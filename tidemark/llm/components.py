@@ -64,7 +64,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     rounds: list[DataFrame] = []
     while True:
-        stars = scratch.table(edges.repartition(F.least("a", "b")).mapInArrow(_contract, "v long, p long"), "stars")
+        stars = scratch.table(edges.withColumn("key", F.least("a", "b")).hint("rebalance", "key").select("a", "b").mapInArrow(_contract, "v long, p long"), "stars")
         centres = stars.select(F.col("p").alias("c")).distinct()
         chosen = stars.groupBy("v").agg(F.min("p").alias("q"))
         chosen = scratch.table(chosen.join(centres, F.col("v") == F.col("c"), "left"), "chosen")

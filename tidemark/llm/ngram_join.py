@@ -10,15 +10,16 @@ most tokens by which a set of size n and a partner can differ.
   the first 2D + 2 places of the merged order at least D' + 2 tokens are common, D' <= D being the
   real difference, so two common tokens are neighbours in both sets: the combinations of two
   neighbouring frequent tokens of the (2D + 2)-prefix find the pair.
-* Filter. Size, and a 512-bit parity bitmap: the Hamming distance of two bitmaps never exceeds the
+* Filter. Size, and a 256-bit parity bitmap: the Hamming distance of two bitmaps never exceeds the
   symmetric difference, so what it drops cannot link.
-* Verify. Surviving pairs are compared on their full sets.
+* Verify. Surviving pairs are filtered once more by parity bitmaps of four bits a token, then compared
+  on their full sets.
 
 Links are only needed as far as they decide components, so long posting lists go in two rounds:
-first each member with near neighbours in the list's order; then, for lists whose members are
-still in different components, every pair of members of different components, in blocks of
-bounded size. Equal sets are one node throughout. No pair of different sets that links is lost
-unless its ends are already connected.
+first each document with its likeliest partners among its neighbours in the lists' order; then,
+every pair of members of a list that are still in different components, in blocks of bounded
+size. Equal sets are one node throughout. No pair of different sets that links is lost unless
+its ends are already connected.
 
 Edge cases: null, empty or blank texts have the empty set, link with nothing and are their own
 component; texts with fewer words than a shingle have one shingle; rows that share an id are one
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small
@@ -51,7 +52,7 @@ SHORT, WINDOW = 6, 16
 #: Members in a block of the second round.
 BLOCK = 4096
 IDS_BROADCAST = 1_000_000
-BITMAP = 512
+BITMAP = 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -177,17 +178,17 @@ def near_pairs(percent: int):
             sig, doc, n, df = (t.column(c).to_numpy() for c in ("sig", "doc", "n", "df"))
             maps = _words(t.column("bitmap").combine_chunks())
             found = np.zeros(len(sig), np.int64)
-            out = set()
+            out = []
             for d in range(1, min(WINDOW, len(sig) - 1) + 1):
                 i = np.flatnonzero((sig[d:] == sig[:-d]) & ((df[d:] <= SHORT) | (found[d:] < 1)) & (doc[d:] != doc[:-d]))
                 i = i[i + d >= fresh]  # the rest was compared with the batch before
                 i = i[may_link(n[i], n[i + d], maps[i], maps[i + d], percent)]
                 found[i + d] += 1
-                out.update(zip(np.minimum(doc[i], doc[i + d]).tolist(), np.maximum(doc[i], doc[i + d]).tolist(), strict=True))
+                apart = np.bitwise_count(maps[i] ^ maps[i + d]).sum(axis=1, dtype=np.int64)
+                out.append((np.minimum(doc[i], doc[i + d]), np.maximum(doc[i], doc[i + d]), apart, df[i] <= SHORT))
             tail = t.slice(max(0, t.num_rows - WINDOW))
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "apart", "short"])
 
     return run
 
@@ -251,11 +252,44 @@ def exact_links(percent: int):
     return run
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bitmap of about four bits a token; its size is a power of two."""
+    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def sketch_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance at the smaller size; a larger bitmap folds onto it without losing parity."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def sketch_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = na + nb - 2 * ((percent * (na + nb) + 99 + percent) // (100 + percent))
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                if sketch_apart(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))) <= most[i]:
+                    keep.append(i)
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    return run
+
+
 def whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "tokens"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), k) for t in part.column(1)]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc", "size", "sketch", "tokens"])
 
     return run
 
@@ -281,20 +315,29 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     # long lists are dealt over several tasks; singles are dropped where all of a list is together
     salt = F.when(F.col("combo"), F.pmod(F.col("node"), F.lit(64))).otherwise(0)
     size = F.count(F.lit(1)).over(Window.partitionBy("sig", "salt"))
-    lists = index.withColumn("salt", salt).withColumn("size", size).where("combo OR size > 1").groupBy("sig", "node").agg(F.lit(1).alias("one"))
-    lists = scratch.table(lists.drop("one"), "lists")
+    lists = index.withColumn("salt", salt).withColumn("size", size).where("combo OR size > 1")
+    lists = scratch.table(lists.groupBy("sig", "salt", "node").agg(F.lit(1)).select("sig", "node"), "lists")
     sizes = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("sig", "_sig")
-    rows = lists.join(nodes, "node").join(sizes, F.col("sig") == F.col("_sig")).select("sig", "df", "doc", "n", "bitmap")
-    turn = F.pmod(F.col("sig"), F.lit(BITMAP // 8)).cast("int")
-    near = F.when(F.col("df") > SHORT, F.concat(F.substring("bitmap", turn + 1, 8), F.substring("bitmap", 1, 8)))
-    rows = scratch.table(rows.withColumn("near", near), "postings")
-
-    first = rows.repartitionByRange("sig", "near").sortWithinPartitions("sig", "near", "doc").drop("near").mapInArrow(near_pairs(percent), "a long, b long")
+    shared = lists.join(sizes, F.col("sig") == F.col("_sig")).select("sig", "df", "node")
+    rows = scratch.table(shared.join(nodes, "node").select("sig", "df", "doc", "n", "bitmap"), "postings")
+    scratch.drop(lists)
+    # long lists are sorted by another stretch of the bitmap each, so alike sets often meet
+    turn = F.pmod(F.col("sig"), F.lit(BITMAP // 8 - 7)).cast("int")
+    order = F.when(F.col("df") > SHORT, F.substring("bitmap", turn + 1, F.lit(8)))
+
+    near = rows.withColumn("near", order).repartitionByRange("sig", "near").sortWithinPartitions("sig", "near", "doc").drop("near").mapInArrow(near_pairs(percent), "a long, b long, apart long, short boolean")
+    near = scratch.table(near.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("short").alias("short")), "near")
+    # each document's likeliest partner on either side connects most; other pairs only matter between components
+    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b").unionByName(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
     links = _verified(texts, first.distinct(), words, percent, scratch)
     names = components(links, scratch)
+    label = lambda side: names.select(F.col("node").alias(f"_{side}"), F.col("component").alias(f"_c{side}"))
+    apart = near.where("short").join(label("a"), F.col("a") == F.col("_a"), "left").join(label("b"), F.col("b") == F.col("_b"), "left")
+    apart = apart.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
     labelled = rows.where(F.col("df") > SHORT).join(names.withColumnRenamed("node", "_node"), F.col("doc") == F.col("_node"), "left")
     labelled = scratch.table(labelled.select("sig", "df", "doc", "n", "bitmap", F.coalesce("component", "doc").alias("label")), "labelled")
+    scratch.drop(rows)
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("sig").alias("_sig"))
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
@@ -305,8 +348,8 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
         "doc", "n", "label", "bitmap",
     )
-    second = dealt.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
-    more = _verified(texts, second, words, percent, scratch)
+    second = dealt.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(cross_pairs(percent), "a long, b long")
+    more = _verified(texts, second.unionByName(apart).distinct(), words, percent, scratch)
     if more.head(1):
         names = components(links.unionByName(more), scratch)
 
@@ -321,19 +364,27 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int, scra
     pairs = scratch.table(pairs, "pairs")
     ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     wanted = texts.join(small(ids, ids.count(), IDS_BROADCAST), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.table(wanted.mapInArrow(whole_sets(words), "doc long, tokens binary"), "whole")
+    sets = scratch.table(wanted.mapInArrow(whole_sets(words), "doc long, size long, sketch binary, tokens binary"), "whole")
+    left = sets.select(F.col("doc").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(sketch_links(percent), "a long, b long")
+    near = scratch.table(near, "likely")
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return scratch.table(both.mapInArrow(exact_links(percent), "a long, b long"), "links")
+    both = near.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    links = scratch.table(both.mapInArrow(exact_links(percent), "a long, b long"), "links")
+    scratch.drop(sets, pairs, ids, near)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents of a component other than the one with the smallest id."""
-    spark = docs.sparkSession
-    classes = Scratch(spark, "classes").table(jaccard_components(docs, words=words, percent=percent, id_col=id_col, text_col=text_col), "classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs without the documents of a component other than the one with the smallest id.
+
+    Rows without an id and rows that repeat the kept id stay."""
+    scratch = Scratch(docs.sparkSession, "classes")
+    classes = jaccard_components(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    gone = scratch.table(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(small(gone, gone.count(), IDS_BROADCAST), F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
