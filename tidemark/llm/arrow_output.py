@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_of, literal_table, ordered_buckets
+from .common import Scratch, arrow_buckets, literal_table, ordered_buckets
 from .tokens import default_vocabulary, encoder
 
 LENGTH = 2048
 END_ID = 1
 BATCH_ROWS = 64
 ENCODE_ROWS = 256
+BUCKETS_A_TASK = 3
 
 
 def file_system(uri: str):
@@ -110,7 +111,8 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits, _ = ordered_buckets(docs, id_col, buckets or parts)
+    # more buckets than tasks even out what tasks get
+    splits = ordered_buckets(docs, id_col, buckets or BUCKETS_A_TASK * parts)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -121,11 +123,11 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_ROWS):
                 part = batch.slice(at, ENCODE_ROWS)
-                raws = [np.frombuffer(r + end, "<u4") for r in get([t or "" for t in part.column(2).to_pylist()])]
+                raws = [np.frombuffer(r + end, "<u4") for r in get([t or "" for t in part.column(1).to_pylist()])]
                 if any(len(r) and r.max() > np.iinfo(np.dtype(dtype)).max for r in raws):
                     raise ValueError(f"ids do not fit {dtype}")
                 blobs = [press.compress(r.astype(dtype).tobytes()) for r in raws]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(arrow_buckets(part.column(0), splits)), part.column(0), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -168,7 +170,7 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("rows", pa.int64())]))
 
-    rows = docs.select(bucket_of(id_col, splits).alias("bucket"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.mapInArrow(encode, f"bucket int, doc_id {kind}, tie long, ids binary").repartition(parts, "bucket")
     written = dealt.sortWithinPartitions("bucket", "doc_id", "tie").mapInArrow(write, "bucket int, tokens long, rows long")
     out, start = [], 0

@@ -6,10 +6,13 @@ lost executor costs only its own running tasks.
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -86,26 +89,27 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ordered_buckets(df: DataFrame, key: str, parts: int) -> tuple[list, int]:
-    """Split points of key for about ``parts`` buckets of equal row counts (one pass, a sketch
-    of bounded size) and the number of buckets. Nulls go before the first split."""
-    qs = [i / parts for i in range(1, parts)]
-    got = df.select(F.percentile_approx(key, F.array(*map(F.lit, qs)), 20 * parts).alias("q")).first()
-    splits = sorted({x for x in (got["q"] or []) if x is not None}) if qs else []
-    return splits, len(splits) + 1
+#: Keys that are sampled for each bucket's bounds.
+KEYS_A_BUCKET = 40
 
 
-def bucket_of(key: str, splits: list) -> Column:
-    """Number of split points <= key, found by a search tree of comparisons."""
+def ordered_buckets(df: DataFrame, key: str, parts: int) -> list:
+    """Split points of key for at most ``parts`` buckets of about equal row counts.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    They come from a sample of about KEYS_A_BUCKET keys a bucket over the whole table, as for any
+    range partitioning; where they fall only decides the balance."""
+    keys = df.select(key).where(F.col(key).isNotNull())
+    n = keys.count()
+    if parts < 2 or not n:
+        return []
+    share = KEYS_A_BUCKET * parts / n
+    got = sorted(r[0] for r in (keys if share >= 1 else keys.sample(share, seed=7)).collect())
+    return sorted({got[len(got) * k // parts] for k in range(1, parts)}) if got else []
 
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(tree(0, len(splits))).cast("int")
 
-
-def order_window(*by: str) -> Window:
-    return Window.orderBy(*by)
+def arrow_buckets(column: pa.Array, splits: list) -> np.ndarray:
+    """Number of split points <= key for each row; null keys are in bucket 0."""
+    if pa.types.is_integer(column.type):
+        at = np.searchsorted(np.array(splits, np.int64), column.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(column.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32)
+    return np.array([0 if k is None else bisect.bisect_right(splits, k) for k in column.to_pylist()], np.int32)

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_of, ordered_buckets
+from .common import Scratch, arrow_buckets, ordered_buckets
 from .shingles import mix, word_hashes
 
 BITS = 128
 RADIUS = 3
-BLOCK_BITS = BITS // (RADIUS + 1)
+RANGES_A_TASK = 3
 
 
 def fingerprint(text: str) -> bytes:
@@ -96,11 +96,23 @@ def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    splits, _ = ordered_buckets(docs, id_col, parts)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("bucket", bucket_of("doc_id", splits))
+    # more ranges than tasks even out what tasks get
+    splits = ordered_buckets(docs, id_col, RANGES_A_TASK * parts)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[int, tuple] = {}
+            for b, doc, tie in zip(arrow_buckets(batch.column(0), splits).tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = (doc is not None, doc if doc is not None else 0, tie)
+                if b not in first or own < first[b][0]:
+                    first[b] = (own, doc, tie)
+            cols = list(zip(*((b, k[0], d, t) for b, (k, d, t) in first.items()), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], batch.schema.field(0).type), pa.array(cols[3], pa.int64())], ["bucket", "known", "doc_id", "tie"])
+
     # the first document of every non-empty range, by id and text hash; one row a range
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"))
-    firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min(order).alias("first")).collect()}
+    found = rows.select("doc_id", "tie").mapInArrow(starts, f"bucket int, known boolean, doc_id {kind}, tie long")
+    firsts = {r["bucket"]: r["first"] for r in found.groupBy("bucket").agg(F.min(F.struct("known", "doc_id", "tie")).alias("first")).collect()}
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}  # the first range follows the last
     id_of = {b: firsts[b]["doc_id"] for b in used}
@@ -111,7 +123,8 @@ def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keep, bucket, guest, blobs = [], [], [], []
-            for i, (b, doc, tie, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "tie", "text")), strict=True)):
+            ranges = arrow_buckets(batch.column("doc_id"), splits).tolist()
+            for i, (b, doc, tie, text) in enumerate(zip(ranges, *(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text")), strict=True)):
                 blob = press.compress(text.encode("utf-8"))
                 keep.append(i), bucket.append(b), guest.append(False), blobs.append(blob)
                 if doc == id_of[b] and tie == first_ties[b]:
@@ -140,7 +153,7 @@ def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 types[0] = batch.schema.field("doc_id").type
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    dealt = rows.withColumn("tie", F.xxhash64("text")).select("bucket", "doc_id", "tie", "text").mapInArrow(deal, f"bucket int, guest boolean, doc_id {kind}, tie long, text binary")
+    dealt = rows.select("doc_id", "tie", "text").mapInArrow(deal, f"bucket int, guest boolean, doc_id {kind}, tie long, text binary")
     # a guest closes its range: it comes after all rows of the range
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
     return dealt.mapInArrow(compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
