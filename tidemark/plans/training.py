@@ -190,7 +190,7 @@ def fit_raw(train: DataFrame, y: str, c: float, l1: float, scale: dict[str, list
     stages = [
         VectorAssembler(inputCols=names, outputCol="_x"),
         StandardScaler(inputCol="_x", outputCol="_z", withMean=False, withStd=True),
-        LogisticRegression(featuresCol="_z", labelCol=y, regParam=1 / (c * n), elasticNetParam=l1, standardization=False, maxIter=200),
+        LogisticRegression(featuresCol="_z", labelCol=y, regParam=1 / (c * n), elasticNetParam=l1, standardization=False, maxIter=100),
     ]
     return Pipeline(stages=stages).fit(wide)
 
