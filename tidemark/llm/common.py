@@ -33,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Rows of an Arrow batch between the JVM and Python: whole texts and sets make wide rows.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches for the session's plans from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one operator run below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_buckets, ordered_buckets
-from .shingles import mix, word_hashes
+from .shingles import mix, text_words
 
 BITS = 128
 RADIUS = 3
@@ -37,10 +37,9 @@ RANGES_A_TASK = 3
 
 def fingerprint(text: str) -> bytes:
     """BITS/8 bytes; zero for a text without words. Words are lower-cased in A-Z only."""
-    words = text.encode("utf-8").lower().split()
-    if not words:
+    h = text_words(text)
+    if not len(h):
         return bytes(BITS // 8)
-    h = word_hashes(words)
     pairs = mix(h[:-1] * np.uint64(3) + h[1:])
     votes = np.zeros(BITS)
     for terms, weight in ((h, 1.0), (pairs, 2.0)):

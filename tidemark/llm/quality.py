@@ -7,7 +7,7 @@ given the whole document, and the length-weighted mean of these is the document'
 to a probability by a logistic fit.
 
 Training: lines inherit their document's label, from at most ``SAMPLE`` documents per label, taken
-in hash order among the training rows; weights are fitted by Adam on the exact log-likelihood with
+in hash order among the training rows (those over ``SAMPLE_CHARS`` characters are passed over); weights are fitted by Adam on the exact log-likelihood with
 numpy. Everything else covers all rows. Labels, language, source and id never enter a score.
 
 Edge cases: null and empty texts have one empty line and get its score; lines of any length and any
@@ -27,7 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE = 1500
+#: Longer texts do not enter the sample, which bounds the driver's memory; they are scored like all others.
+SAMPLE_CHARS = 50_000
 #: Lines of a training document that enter the fit: evenly spread runs of at most this many.
 TRAIN_LINES = 64
 HASHED = 512
@@ -43,7 +47,7 @@ def word_slots(w: bytes) -> tuple[int, int]:
     """Hashed feature of a word and of its last three bytes."""
     got = _words.get(w)
     if got is None:
-        if len(_words) > 300_000:
+        if len(_words) > 100_000:
             _words.clear()
         got = _words[w] = (zlib.crc32(w[:16]) % (HASHED // 2), HASHED // 2 + zlib.crc32(w[-3:], 7) % (HASHED // 2))
     return got
@@ -224,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     """Fit on at most ``sample`` documents per label outside the held-out fold."""
     usable = labels.where(F.col(label_col).isin(0, 1) & ~is_held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).distinct()
     picked = usable.where("_y = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample).unionAll(usable.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_y", F.coalesce(text_col, F.lit("")).alias("_t"))
+    rows = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_y", F.coalesce(text_col, F.lit("")).alias("_t"))
     got = sorted(rows.limit(4 * sample).collect(), key=lambda r: (r["_id"], r["_y"], r["_t"]))
     # the calibration needs the rate of label 1 among all training rows
     field = fit([r["_t"] for r in got], [r["_y"] for r in got])
@@ -243,6 +247,7 @@ def score(docs: DataFrame, field: Field, *, text_col: str = "text", out: str = "
         for part in texts:
             yield pd.Series(field.score(np.array([field.quality(lines_of(t or "")) for t in part])))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, scored(F.col(text_col)))
 
 

@@ -1,16 +1,13 @@
-"""Word shingles of whole texts as sorted arrays of 64-bit hashes."""
+"""Word shingles of whole texts as sorted arrays of 64-bit hashes, computed on bytes with numpy."""
 
 from __future__ import annotations
 
-from itertools import filterfalse
-
 import numpy as np
 
-CACHE_WORDS = 600_000
 #: Odd multipliers, one per place in a shingle (fixed values; any odd numbers do).
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-_words: dict[bytes, int] = {}
+#: Bytes of a text that are hashed at once; bounds the memory for very long texts.
+SLICE = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,26 +17,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * PLACES[1])[_LOWER]
+_BASE = 0x9E3779B97F4A7C13  # fixed value: any odd number that is 3 modulo 8
+_POWER = np.full(SLICE, _BASE, np.uint64)
+_POWER[0] = 1
+_POWER = np.multiply.accumulate(_POWER)
+_BACK = np.full(SLICE, pow(_BASE, -1, 1 << 64), np.uint64)
+_BACK[0] = 1
+_BACK = np.multiply.accumulate(_BACK)
+
+
+def text_words(text: str | None) -> np.ndarray:
+    """Hash of every word in order. Words are runs of anything but ASCII white space, A-Z lower-cased."""
+    raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+    if len(raw) <= SLICE:
+        return _hash_words(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):  # cut between words; a word beyond the slice is hashed alone
+            gaps = np.flatnonzero(_SPACE[raw[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                more = np.flatnonzero(_SPACE[raw[end:]])
+                end = end + int(more[0]) if len(more) else len(raw)
+                out.append(_hash_long(raw[at:end]))
+                at = end
+                continue
+        out.append(_hash_words(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hash_long(word: np.ndarray) -> np.ndarray:
     import xxhash
 
-    new = set(filterfalse(_words.__contains__, words))
-    if new:
-        if len(_words) > CACHE_WORDS:
-            _words.clear()
-            new = set(words)
-        _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.array([xxhash.xxh3_64_intdigest(_LOWER[word].tobytes())], np.uint64)
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words, one of the whole sequence.
+def _hash_words(raw: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all words from one cumulative sum over the bytes."""
+    space = np.ones(len(raw) + 2, bool)
+    np.take(_SPACE, raw, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    first, last = edge[::2], edge[1::2]
+    if len(first) == 1 and last[0] - first[0] >= SLICE:
+        return _hash_long(raw)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _POWER[: len(raw)], out=total[1:])
+    return mix((total[last] - total[first]) * _BACK[first] + (last - first).astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
 
-    Words are runs of anything but ASCII white space after lower-casing A-Z."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; with fewer words, one of the whole sequence."""
+    h = text_words(text)
+    if not len(h):
+        return h
     if len(h) < k:
         return mix((h * PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     n = len(h) - k + 1

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 RUN_WORDS = 256
 PUNCTUATION = string.punctuation.encode()
 
