@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
+from tidemark.llm import embedding_dedup as E
 from tidemark.llm import quality as Q
 from tidemark.llm.embedding_dedup import near_duplicates, op1_embedding_dedup
 from tidemark.llm.html_blocks import blocks_of
@@ -51,6 +52,24 @@ def test_embedding_recall_at_spread_similarities(spark):
     assert np.mean([got[i]["component_id"] == truth[i][1] for i in got]) > 0.95
 
 
+def test_embedding_links_across_hundreds_of_lists(spark, monkeypatch):
+    """Alike vectors with links close to the threshold: their ends often lie in lists far down each other's order."""
+    monkeypatch.setattr(E, "LIST_ROWS", 8)
+    monkeypatch.setattr(E, "BLOCK", 700)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2400, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.sqrt(0.2) * x
+    x[:, 0] += np.sqrt(0.8)
+    rows = list(enumerate(x.tolist()))
+    assert len(E.Quantiser(x, len(rows)).centroids) >= 256
+    truth, links = embedding_truth(rows)
+    assert links > 1000
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(n for n, _ in got.values()) == 2 * links
+    assert got == truth
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.001]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, float("inf")]), (11, [-1.0, 0.0])]
     frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, id string")
