@@ -52,3 +52,30 @@ def test_radius_search_finds_all(spark):
     got = {r["_q"]: r["n_within"] for r in within_radius(frame, frame).collect()}
     for p in prints:
         assert got[p] == sum((int(p, 16) ^ int(q, 16)).bit_count() <= 3 for q in prints)
+
+
+def test_radius_search_is_complete_at_any_radius(spark):
+    rng = np.random.default_rng(1)
+    base = [int.from_bytes(rng.bytes(BITS // 8), "big") for _ in range(15)]
+    prints = [f"{b ^ sum(1 << int(i) for i in rng.choice(BITS, size=k, replace=False)):0{BITS // 4}x}" for b in base for k in (0, 0, 5, 10, 19, 20, 21, 30)]
+    frame = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    for radius in (0, 1, 9, 20, 23):
+        got = {r["_q"]: r["n_within"] for r in within_radius(frame, frame, radius=radius).collect()}
+        assert got == {p: sum((int(p, 16) ^ int(q, 16)).bit_count() <= radius for q in prints) for p in prints}
+
+
+def test_near_copies_are_found_and_named(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for k in range(30):
+        text = [words[i] for i in rng.integers(0, len(words), 200)]
+        copy = list(text)
+        for at in rng.choice(200, 4, replace=False):  # two words of a hundred
+            copy[at] = words[rng.integers(len(words))]
+        docs += [(100 * k, " ".join(text)), (100 * k + 1, " ".join(copy)), (100 * k + 2, " ".join(words[i] for i in rng.integers(0, len(words), 200)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+    for k in range(30):
+        assert rows[100 * k]["n_near"] == 1 and rows[100 * k + 1]["near_query"] == 100 * k
+        assert rows[100 * k + 2]["near_query"] is None and rows[100 * k + 1]["n_near"] is None
