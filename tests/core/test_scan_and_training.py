@@ -122,3 +122,25 @@ def test_train_save_load_predict(spark, tmp_path):
         T.predict(bundle, val.drop("adx"))
     assert T.should_auto_train(Settings(), allowed=True, models_present=False, minutes_since_last=None)
     assert not T.should_auto_train(Settings(), allowed=True, models_present=False, minutes_since_last=5.0)
+
+
+def test_platt_by_sums_uses_all_rows(spark):
+    rng = np.random.default_rng(3)
+    p = rng.random(2000)
+    y = (rng.random(2000) < p**2).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int")
+    want, got = T.fit_platt(p, y), T.fit_platt_rows(df, "p", "y")
+    assert (got.slope, got.shift) == pytest.approx((want.slope, want.shift))
+
+
+def test_lr_probs_trains_the_default_grid_for_both_targets(spark, monkeypatch):
+    from tidemark import queries
+
+    matrix = rows(spark, *[("A-USD", 5 * k, {}) for k in range(20)]).withColumn("y1", F.lit(1)).withColumn("y2", F.lit(0))
+    made = []
+    monkeypatch.setattr(queries, "_matrix", lambda *a: matrix)
+    monkeypatch.setattr(T, "fit_target", lambda split, y, cfg: made.append((y, cfg.enet_c_values, cfg.enet_l1_values)) or y)
+    monkeypatch.setattr(T, "predict", lambda bundle, df, out: df.withColumn(out, F.lit(0.5)))
+    got = queries.QUERIES["lr_probs"](spark, "")
+    assert made == [(y, (0.5, 1.0), (0.0, 0.5)) for y in ("y1", "y2")]
+    assert got.columns == ["product_id", "ts_end", "y1", "prob_1", "y2", "prob_2"] and got.count() == 4

@@ -576,11 +576,12 @@ def _spline(spark, sf):
 
 @query("lr_probs", None)
 def _lr(spark, sf):
-    """Model probabilities of the validation rows after training on the rows before."""
-    cfg = Settings(liq_dvol_min_usd=5000.0, benchmark_symbol="view", enet_c_values=(0.5,), enet_l1_values=(0.0,))
+    """Model probabilities of both targets for the validation rows after training on the rows before."""
     split = T.time_split(_matrix(spark, sf)).persist()
-    bundle = T.fit_target(split, "y1", cfg)
-    return T.predict(bundle, split.where("split = 'val'"), "prob_1").select("product_id", "ts_end", "y1", "prob_1")
+    out = split.where("split = 'val'")
+    for y, prob in (("y1", "prob_1"), ("y2", "prob_2")):
+        out = T.predict(T.fit_target(split, y, FIXTURE), out, prob)
+    return out.select("product_id", "ts_end", "y1", "prob_1", "y2", "prob_2")
 
 
 @query("stream_equals_batch", None)
