@@ -101,6 +101,44 @@ def test_chain_equals_enumeration():
     assert pairs.sum() == pytest.approx(3)
 
 
+def test_quality_reads_whole_words_lines_and_texts(spark, monkeypatch):
+    long = b"x" * 16
+    assert Q.word_slots(long + b"tail-one-aaa") != Q.word_slots(long + b"tail-two-aaa")
+    rng = np.random.default_rng(4)
+    field = Q.Field(*rng.standard_normal((3, Q.FEATURES)) * 0.3, rng.standard_normal((2, 2)))
+    texts = ["\n".join(" ".join(rng.choice(["a", "bb", "ccc", "9"], 5)) for _ in range(n)) for n in (1, 2, 7, 40)]
+    whole = [field.marginals(Q.lines_of(t)) for t in texts]
+    # neighbours' features count, the ends have one neighbour
+    x = Q.line_features(Q.lines_of(texts[2]))
+    e = x @ field.own
+    e[1:] += x[:-1] @ field.before
+    e[:-1] += x[1:] @ field.after
+    assert np.allclose(whole[2], Q.chain(e[None, :], np.array([7]), field.change)[0][0])
+    lined = [Q.lines_of(t) for t in texts]
+    parts = np.concatenate([Q.line_features(x) for x in lined]) @ field.weights()
+    n = np.array([len(x) for x in lined])
+    split = np.split(Q.emissions(parts, n), n.cumsum()[:-1])
+    assert np.allclose(split[3], Q.emissions(Q.line_features(lined[3]) @ field.weights(), n[3:]))
+    monkeypatch.setattr(Q, "LINES", 3)
+    for t, w in zip(texts, whole, strict=True):
+        assert np.allclose(field.marginals(Q.lines_of(t)), w)
+    y = [0, 1, 0, 1]
+    again = Q.fit(texts, y, rounds=2)
+    monkeypatch.setattr(Q, "KEPT", 0)
+    assert np.allclose(Q.fit(texts, y, rounds=2).own, again.own)
+
+
+def test_quality_names_that_clash_and_sample_bound(spark, monkeypatch):
+    rows = [(i, "good words here\nand there" if i % 2 else "$$$ ### 111", 7, 7, 7, 7, "h") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, predicted int, _id int, _y int, hash string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = Q.classify(docs, labels)
+    assert got.columns == [*docs.columns, "_score", "_predicted"] and got.where("score = 7 and predicted = 7").count() == 40
+    assert got.where("_predicted = doc_id % 2").count() == 40
+    monkeypatch.setattr(Q, "SAMPLE_SIZE", 600)  # two or three documents a label
+    assert Q.classify(docs, labels).where("_predicted = doc_id % 2").count() == 40
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.op3_quality(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")

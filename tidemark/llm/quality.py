@@ -11,9 +11,9 @@ in hash order among the training rows (those over ``SAMPLE_CHARS`` characters ar
 numpy. Everything else covers all rows. Labels, language, source and id never enter a score.
 
 Edge cases: null and empty texts have one empty line and get its score; lines of any length and any
-number of lines are scored whole; rows without a label are scored alike; repeated rows get equal
-scores; with no training rows of either label, the field is all zero and every score is the
-rate of label 1 (0.5 without any label).
+number of lines are scored whole, in chunks; rows without a label are scored alike; repeated rows get
+equal scores; with no training rows of either label, the field is all zero and every score is the
+rate of label 1 (0.5 without any label); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 SAMPLE = 1500
-#: Longer texts do not enter the sample, which bounds the driver's memory; they are scored like all others.
-SAMPLE_CHARS = 50_000
-#: Lines of a training document that enter the fit: evenly spread runs of at most this many.
-TRAIN_LINES = 64
+#: Characters, plus 100 a line, of the sample of one label; bounds the driver's memory. In hash order, a document that
+#: would pass it is left out of the fit, whole. It is scored like all others.
+SAMPLE_SIZE = 16_000_000
+#: Lines whose features are held at once.
+LINES = 4096
+#: Lines, with padding, of a training batch of several documents; training lines up to which features are kept.
+PADDED, KEPT = 16_384, 65_536
 HASHED = 512
 SCALARS = 13
 FEATURES = HASHED + SCALARS
@@ -49,7 +52,7 @@ def word_slots(w: bytes) -> tuple[int, int]:
     if got is None:
         if len(_words) > 100_000:
             _words.clear()
-        got = _words[w] = (zlib.crc32(w[:16]) % (HASHED // 2), HASHED // 2 + zlib.crc32(w[-3:], 7) % (HASHED // 2))
+        got = _words[w] = (zlib.crc32(w) % (HASHED // 2), HASHED // 2 + zlib.crc32(w[-3:], 7) % (HASHED // 2))
     return got
 
 
@@ -72,10 +75,10 @@ def lines_of(text: str) -> list[bytes]:
     return out
 
 
-def line_features(lines: list[bytes]) -> np.ndarray:
-    """A row per line: hashed word shares, then scalars."""
+def line_features(lines: list[bytes], seen: dict[bytes, int] | None = None) -> np.ndarray:
+    """A row per line: hashed word shares, then scalars. seen: how often the document's earlier lines came."""
     x = np.zeros((len(lines), FEATURES), np.float32)
-    seen: dict[bytes, int] = {}
+    seen = {} if seen is None else seen
     for i, line in enumerate(lines):
         words = line.lower().split()
         n, row = len(words), x[i]
@@ -89,6 +92,12 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     return x
 
 
+def feature_chunks(lines: list[bytes]) -> Iterator[np.ndarray]:
+    seen: dict[bytes, int] = {}
+    for at in range(0, len(lines), LINES):
+        yield line_features(lines[at : at + LINES], seen)
+
+
 @dataclass
 class Field:
     """Weights of own, previous and next line for good minus bad, transitions, and calibration."""
@@ -100,26 +109,36 @@ class Field:
     slope: float = 1.0
     shift: float = 0.0
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        e = x @ self.own
-        e[1:] += x[:-1] @ self.before
-        e[:-1] += x[1:] @ self.after
-        return e
+    def weights(self) -> np.ndarray:
+        return np.stack([self.own, self.before, self.after], axis=1)
 
-    def marginals(self, x: np.ndarray) -> np.ndarray:
+    def marginals(self, lines: list[bytes]) -> np.ndarray:
         """Probability of good for every line."""
-        return chain(self.emissions(x)[None, :], np.array([len(x)]), self.change)[0][0]
+        parts = np.concatenate([x @ self.weights() for x in feature_chunks(lines)])
+        return chain(emissions(parts, np.array([len(lines)]))[None, :], np.array([len(lines)]), self.change)[0][0]
 
     def quality(self, lines: list[bytes]) -> float:
         """Length-weighted mean of the lines' probabilities."""
         size = np.array([len(s) + 1 for s in lines], float)
-        return float((self.marginals(line_features(lines)) * size).sum() / size.sum())
+        return float((self.marginals(lines) * size).sum() / size.sum())
 
     def score(self, quality: np.ndarray) -> np.ndarray:
         z = self.slope * (quality - 0.5) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def emissions(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-odds of good of lines of documents of n lines one after the other, from each line's products with the weights
+    of own, previous and next line."""
+    e = parts[:, 0].copy()
+    first = np.zeros(len(e), bool)
+    first[n.cumsum() - n] = True
+    follows = ~first[1:]  # the line before is of the same document
+    e[1:][follows] += parts[:-1, 1][follows]
+    e[:-1][follows] += parts[1:, 2][follows]
+    return e
+
+
 def chain(e: np.ndarray, n: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward for a batch of chains of lengths n; e: log-odds of good per line.
 
@@ -157,42 +176,56 @@ def fit(texts: list[str], labels: list[int], rounds: int = 16, batch: int = 64,
         field.shift = float(np.log(rate1 / (1 - rate1)))
         field.slope = 0.0
         return field
-    docs = []
-    for t in texts:
-        x = line_features(lines_of(t))
-        at = max(0, (len(x) - TRAIN_LINES) // 2)
-        docs.append(x[at : at + TRAIN_LINES])
+    lines = [lines_of(t) for t in texts]
+    length = np.array([len(x) for x in lines])
+    # few lines are kept as features; beyond, features are made again for each batch
+    kept = [line_features(x) for x in lines] if length.sum() <= KEPT else None
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     params = [field.own, field.before, field.after, field.change]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+
+    def chunks(pick: np.ndarray) -> Iterator[np.ndarray]:
+        if kept is not None:
+            yield np.concatenate([kept[i] for i in pick])
+        else:
+            for i in pick.tolist():
+                yield from feature_chunks(lines[i])
+
     for _ in range(rounds):
-        order = rng.permutation(len(docs))
-        order = order[np.argsort([len(docs[i]) // 8 for i in order], kind="stable")]
-        starts = rng.permutation(np.arange(0, len(order), batch))
-        for s in starts:
-            pick = order[s : s + batch]
-            n = np.array([len(docs[i]) for i in pick])
-            x = np.zeros((len(pick), n.max(), FEATURES), np.float32)
-            for r, i in enumerate(pick):
-                x[r, : n[r]] = docs[i]
-            prev, nxt = np.zeros_like(x), np.zeros_like(x)
-            prev[:, 1:], nxt[:, :-1] = x[:, :-1], x[:, 1:]
+        order = rng.permutation(len(lines))
+        order = order[np.argsort(length[order] // 8, kind="stable")]
+        # a batch ends at so many documents or padded lines
+        starts = [0]
+        for k in range(1, len(order)):
+            if k - starts[-1] >= batch or (k - starts[-1] + 1) * length[order[k]] > PADDED:
+                starts.append(k)
+        cuts = list(zip(starts, [*starts[1:], len(order)], strict=True))
+        for c in rng.permutation(len(cuts)).tolist():
+            pick = order[cuts[c][0] : cuts[c][1]]
+            n = length[pick]
+            flat = emissions(np.concatenate([x @ field.weights() for x in chunks(pick)]), n)
             inside = np.arange(n.max())[None, :] < n[:, None]
-            e = (x @ field.own + prev @ field.before + nxt @ field.after) * inside
-            grad_e, grad_c = np.zeros_like(e), np.zeros((2, 2))
+            e = np.zeros(inside.shape)
+            e[inside] = flat
             p, _, _ = chain(e, n, field.change)
-            w = (weight[pick] / n)[:, None]
-            grad_e = (p - y[pick][:, None] * inside) * w
+            grad_e = ((p - y[pick][:, None] * inside) * (weight[pick] / n)[:, None])[inside] / len(pick)
+            grad_c = np.zeros((2, 2))
             for label in (0, 1):  # all lines of a document carry its label
                 own = y[pick] == label
                 if own.any():
                     _, pairs, _ = chain(e[own], n[own], field.change)
-                    scale = 1 / n[own].mean()
                     seen = np.zeros((2, 2))
                     seen[label, label] = (n[own] - 1).sum()
-                    grad_c += (pairs - seen) * scale * float(weight[pick][own][0])
-            flat = grad_e.ravel() / len(pick)
-            grads = [np.tensordot(flat, a.reshape(-1, FEATURES), 1) for a in (x, prev, nxt)] + [grad_c / len(pick)]
+                    grad_c += (pairs - seen) / n[own].mean() * float(weight[pick][own][0])
+            # a line's features meet the gradient of the next line (as its previous one) and of the previous one
+            ends = n.cumsum()
+            ahead, behind = np.append(grad_e[1:], 0.0), np.append(0.0, grad_e[:-1])
+            ahead[ends - 1] = behind[ends - n] = 0
+            toward, at, sums = np.stack([grad_e, ahead, behind], axis=1), 0, np.zeros((FEATURES, 3))
+            for x in chunks(pick):
+                sums += x.T @ toward[at : at + len(x)]
+                at += len(x)
+            grads = [*sums.T, grad_c / len(pick)]
             step += 1
             for k, g in enumerate(grads):
                 g = g + decay * params[k]
@@ -200,7 +233,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 16, batch: int = 64,
                 v[k] += 0.001 * (g * g - v[k])
                 params[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
             np.clip(field.change, -3, 3, out=field.change)
-    q = np.array([field.quality(lines_of(t)) for t in texts])
+    q = np.array([field.quality(x) for x in lines])
     field.slope, field.shift = logistic(q - 0.5, y, np.ones_like(y))
     return field
 
@@ -226,21 +259,28 @@ def is_held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on at most ``sample`` documents per label outside the held-out fold."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & ~is_held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).distinct()
-    picked = usable.where("_y = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample).unionAll(usable.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_y", F.coalesce(text_col, F.lit("")).alias("_t"))
-    got = sorted(rows.limit(4 * sample).collect(), key=lambda r: (r["_id"], r["_y"], r["_t"]))
+    usable = labels.where(F.col(label_col).isin(0, 1) & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
+    order = (F.xxhash64("id"), F.col("id"))
+    picked = usable.where("y = 0").orderBy(*order).limit(sample).unionAll(usable.where("y = 1").orderBy(*order).limit(sample))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(picked), F.col("doc") == F.col("id"))
+    size = (F.length("text") + 100 * (F.regexp_count("text", F.lit("\n")) + 1)).cast("long")
+    sized = rows.select("id", "y", "hash", size.alias("size")).distinct().where(F.col("size") <= SAMPLE_SIZE)
+    by = Window.partitionBy("y").orderBy(*order, "hash")  # a few thousand rows; more only if ids repeat
+    fits = sized.withColumns({"nth": F.row_number().over(by), "upto": F.sum("size").over(by)}).where((F.col("nth") <= sample) & (F.col("upto") <= SAMPLE_SIZE))
+    chosen = rows.join(F.broadcast(fits.select("id", "y", "hash")), ["id", "y", "hash"], "left_semi").select("id", "y", "text").distinct()
+    got = sorted(tuple(r) for r in chosen.collect())  # at most SAMPLE_SIZE characters a label
     # the calibration needs the rate of label 1 among all training rows
-    field = fit([r["_t"] for r in got], [r["_y"] for r in got])
-    rate = usable.agg(F.avg("_y")).first()[0]
-    own = np.mean([r["_y"] for r in got]) if got else 0.5
+    field = fit([t for _, _, t in got], [y for _, y, _ in got])
+    rate = usable.agg(F.avg("y")).first()[0]
+    own = np.mean([y for _, y, _ in got]) if got else 0.5
     if rate is not None and 0 < rate < 1 and 0 < own < 1:
         field.shift += float(np.log(rate / (1 - rate)) - np.log(own / (1 - own)))
     return field
 
 
 def score(docs: DataFrame, field: Field, *, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score column from 0 to 1, higher for better texts."""
+    """docs with a score from 0 to 1, higher for better texts, in a new column ``out`` (underscores before it if docs has one)."""
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -248,13 +288,13 @@ def score(docs: DataFrame, field: Field, *, text_col: str = "text", out: str = "
             yield pd.Series(field.score(np.array([field.quality(lines_of(t or "")) for t in part])))
 
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, scored(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), scored(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score and predicted (1: good)."""
+    """docs and, last, score and predicted (1: good); underscores go before a name that docs has."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col=text_col)
-    return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
+    return scored.withColumn(free_name(scored, "predicted"), F.when(F.col(scored.columns[-1]) >= cut, 1).otherwise(0))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,11 @@ import numpy as np
 CACHE_WORDS = 300_000
 RUN_WORDS = 256
 PUNCTUATION = string.punctuation.encode()
+#: Bytes by kind: 1 ASCII letters and digits, 2 ASCII punctuation, 3 ASCII white space, 0 others.
+KIND = np.zeros(256, np.uint8)
+KIND[[*string.ascii_letters.encode(), *string.digits.encode()]] = 1
+KIND[[*PUNCTUATION]] = 2
+KIND[[9, 10, 11, 12, 13, 32]] = 3
 
 
 def default_vocabulary() -> str:
@@ -74,7 +79,10 @@ class Encoder:
             vocab = spec["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.added = [t["content"].encode("utf-8") for t in added]
+        #: words' ids: the latest ones, and those before that were not asked for since
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn_plain(self, words: list[bytes]) -> None:
         """Encode lower-case letter runs and punctuation runs."""
@@ -109,9 +117,13 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return [i.tobytes() for i in self._encode(texts)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        words = [t.encode("utf-8").split() for t in texts]
+        distinct = dict.fromkeys(texts)
+        if len(distinct) < len(texts):
+            distinct = dict(zip(distinct, self(list(distinct)), strict=True))
+            return [distinct[t] for t in texts]
+        if len(self.cache) > CACHE_WORDS // 2:
+            self.old, self.cache = self.cache, {}
+        words = [self._words(t.encode("utf-8")) for t in texts]
         known = [list(map(self.cache.get, w)) for w in words]
         gaps = [[i for i, v in enumerate(k) if v is None] if None in k else [] for k in known]
         new = {w[i] for w, g in zip(words, gaps, strict=True) for i in g}
@@ -122,9 +134,31 @@ class Encoder:
                     k[i] = self.cache[w[i]]
         return [b"".join(k) for k in known]
 
+    def _words(self, raw: bytes) -> list[bytes]:
+        """Words of a text; one ASCII punctuation mark after an ASCII letter or digit is a word of its own, as it is a
+        pre-token of its own. In lower case if that surely changes no id: no combining marks, no added token comes up."""
+        if not self.plain:
+            return raw.split()
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            low = raw.lower()
+            raw = raw if any(a in low for a in self.added) else low
+        kind = KIND[np.frombuffer(raw, np.uint8)]
+        at = np.flatnonzero((kind[:-2] == 1) & (kind[1:-1] == 2) & (kind[2:] == 3)) + 1
+        if len(at):
+            wide = np.full(len(raw) + len(at), 32, np.uint8)
+            place = np.ones(len(wide), bool)
+            place[at + np.arange(len(at))] = False
+            wide[place] = np.frombuffer(raw, np.uint8)
+            raw = wide.tobytes()
+        return raw.split()
+
     def _extend(self, new: set[bytes]) -> None:
         cache, whole, parts = self.cache, [], []
-        for w in new:
+        again = new & self.old.keys()
+        cache.update((w, self.old[w]) for w in again)
+        new -= again
+        need = [w for w in new if w.isalpha() and w.islower()]
+        for w in new.difference(need):
             # letters with trailing ASCII punctuation are two pre-tokens, whatever their case
             core = w.rstrip(PUNCTUATION)
             if core.isalpha() or not core:
@@ -134,7 +168,7 @@ class Encoder:
             else:
                 whole.append(w)
         cache[b""] = b""
-        need = list({p for _, a, b in parts for p in (a, b)} - cache.keys())
+        need += {p for _, a, b in parts for p in (a, b)}.difference(need, cache.keys())
         (self._learn_plain if self.plain else self._learn)(need)
         self._learn(whole)
         for w, a, b in parts:
