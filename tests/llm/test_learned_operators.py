@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from html import unescape
 
@@ -13,7 +14,8 @@ from tidemark.llm import embedding_dedup as E
 from tidemark.llm import quality as Q
 from tidemark.llm.embedding_dedup import near_duplicates, op1_embedding_dedup
 from tidemark.llm.html_blocks import blocks_of
-from tidemark.llm.html_extract import extract, op8_html_extract, padded, trained, training_page
+from tidemark.llm import html_extract as H
+from tidemark.llm.html_extract import block_vectors, entry_slots, extract, main_texts, op8_html_extract, padded, trained, training_page
 from tidemark.llm.html_pages import PageMaker
 from tests.llm.test_components import brute
 
@@ -164,6 +166,29 @@ def test_blocks():
     assert blocks_of("") == [] and [b.text for b in blocks_of("plain &lt; text")] == ["plain < text"]
 
 
+def test_unclosed_and_nested_elements_hide_nothing_else():
+    text = lambda html: [b.text for b in blocks_of(html)]
+    for tag in ("svg", "noscript", "object", "iframe", "template"):
+        assert text(f"<article><p>one</p><{tag}><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+        assert text(f"<p>one</p><{tag} a=b><p>x</p><{tag}>y</{tag}><p>z</p></{tag}><p>two</p>") == ["one", "two"]
+        assert text(f"<p>one<{tag}/>two</p>") == ["onetwo"]
+    assert text("<p>a</p><script>b<p>c") == ["a"] and text("<p>a</p><!-- b <p>c") == ["a"] and text("<p>a <!-- b") == ["a"]
+    assert text("<p>a<b><i>b</b><p>c</i></p><div>d<li>e</div>f") == ["ab", "c", "d", "e", "f"]
+
+
+def test_long_and_deep_pages_take_linear_time_and_bounded_memory():
+    model, start = trained(), time.time()
+    deep = main_texts(model, ["<article>" + "<b><p>word and more.</p>" * 20_000, "<a " * 200_000, "<svg>" * 20_000, "</b>" * 20_000 + "<b>" * 20_000])
+    assert deep[0].count("\n") == 19_999 and time.time() - start < 60
+    blocks = blocks_of("<article>" + "".join(f"<p class=c{i}>{'w ' * (i % 90)}." for i in range(300)), entry_slots)
+    whole = trained().logits(*padded([block_vectors(blocks)]))[0]
+    x = block_vectors(blocks_of("".join(f"<p>{'a ' * 70}{w}" for w in ("one two three", "four five six")) + "".join("<p>" + " ".join("long" * 9 + c for c in w) for w in ("abc", "def"))))
+    assert (x[0] != x[1])[384:416].any() and (x[2] != x[3])[384:416].any()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(H, "LONG", 64)
+        assert np.allclose(trained().page_logits(blocks), whole, atol=1e-4)
+
+
 def test_labeller_on_new_generated_pages():
     maker, model, right, n = PageMaker(4242), trained(), 0, 0
     for _ in range(60):
@@ -187,3 +212,5 @@ def test_extraction_edges(spark):
     got = {r["page_id"]: r["main_text"] for r in extract(pages).collect()}
     assert got[1] == got[2] == "" and len(got) == 4
     assert extract(pages.limit(0)).count() == 0
+    clash = extract(pages.withColumnRenamed("text", "main_text"))
+    assert clash.columns == ["page_id", "html", "main_text", "_main_text"] and clash.where("main_text = 'm'").count() == 4

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from html import unescape
 
@@ -12,9 +14,11 @@ BLOCK_TAGS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
-#: Elements without content, and elements whose content is never text of the page.
+#: Elements without content; those whose content is never markup and runs to the page's end if unclosed;
+#: those whose content is hidden if they are closed (unclosed ones hide nothing).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style template noscript iframe svg object textarea".split())
+RAW_TAGS = frozenset("script style textarea".split())
+HIDDEN_TAGS = frozenset("template noscript iframe svg object".split())
 #: Elements that a start tag of the same family closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select".split())
@@ -26,7 +30,11 @@ SPLIT_NAMES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """Text of a leaf block, how much of it is linked, and of its path: the marks of all entries, innermost tag, depth."""
+
+    marks: tuple[int, ...]
+    tag: str
+    depth: int
     text: str
     linked: int
 
@@ -39,71 +47,132 @@ def names_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *dict.fromkeys(words)])
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Leaf blocks in page order; character references decoded, white space collapsed."""
+class OpenElements:
+    """The open elements, with what a block or a tag asks of them at hand, whatever their number."""
+
+    def __init__(self, marks_of: Callable[[str], tuple[int, ...]]):
+        self.marks_of = marks_of
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.marks: dict[int, int] = {}
+
+    def push(self, tag: str, entry: str) -> None:
+        marks = self.marks_of(entry)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        for k in marks:
+            self.marks[k] = self.marks.get(k, 0) + 1
+        self.stack.append((tag, marks))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, marks = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            for k in marks:
+                self.marks[k] -= 1
+                if not self.marks[k]:
+                    del self.marks[k]
+
+    def last(self, tag: str) -> int | None:
+        got = self.places.get(tag)
+        return got[-1] if got else None
+
+    def first_above(self, tags: Iterable[str], scopes: Iterable[str]) -> int | None:
+        """Lowest open element of tags above the innermost of scopes."""
+        floor = max((self.places[s][-1] for s in scopes if self.places.get(s)), default=-1)
+        found = []
+        for tag in tags:
+            own = self.places.get(tag) or []
+            at = bisect.bisect_right(own, floor)
+            if at < len(own):
+                found.append(own[at])
+        return min(found, default=None)
+
+
+def closed_at(html: str, tag: str) -> dict[int, int]:
+    """Start of every closed element of a tag -> end of its closing tag, nested ones too."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", html, re.I):
+        if m[1]:
+            if opened:
+                out[opened.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            opened.append(m.start())
+    return out
+
+
+def blocks_of(html: str, marks_of: Callable[[str], tuple[int, ...]] = lambda entry: ()) -> list[Block]:
+    """Leaf blocks in page order; character references decoded, white space collapsed.
+
+    marks_of gives the marks of a path entry (a tag and the words of its class, id and role)."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    open_ = OpenElements(marks_of)
     parts: list[str] = []
-    linked = links = 0
+    hidden: dict[str, dict[int, int]] = {}
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(e[1] for e in stack), text, min(linked, len(text))))
+                stack = open_.stack
+                out.append(Block(tuple(open_.marks), stack[-1][0] if stack else "", len(stack), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop_to(depth: int) -> None:
-        nonlocal links
-        for tag, _ in stack[depth:]:
-            links -= tag == "a"
-        del stack[depth:]
-
-    at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
+    at, end = 0, html.rfind(">") + 1  # no tag ends later
+    while True:
+        m = TOKEN.search(html, at, end) if at < end else None
+        text = html[at : m.start() if m else len(html)]
+        if not m and "<!--" in text:
+            text = text[: text.index("<!--")]
         if text:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if open_.places.get("a"):
                 linked += len(text.strip())
         if not m:
             break
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # an open comment
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                if tag in BLOCK_TAGS:
-                    flush()
-                    pop_to(depth)
-                elif not any(t in BLOCK_TAGS for t, _ in stack[depth:]):
-                    pop_to(depth)
-            elif tag in BLOCK_TAGS:
+            depth = open_.last(tag)
+            if tag in BLOCK_TAGS:
                 flush()
+                if depth is not None:
+                    open_.pop_to(depth)
+            elif depth is not None and not (open_.blocks and open_.blocks[-1] > depth):
+                open_.pop_to(depth)
+            continue
+        if tag in RAW_TAGS:
+            close = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
+            if not close:
+                break
+            at = close.end()
             continue
         if tag in HIDDEN_TAGS:
-            if not m[3].endswith("/") or tag in ("script", "style", "textarea", "iframe"):
-                close = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
+            if tag not in hidden:
+                hidden[tag] = closed_at(html, tag)
+            at = max(at, hidden[tag].get(m.start(), at))
             continue
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
-                    pop_to(i)
-                elif stack[i][0] in SCOPES:
-                    break
+            depth = open_.first_above({"p"} | CLOSES.get(tag, set()), SCOPES)
+            if depth is not None:
+                open_.pop_to(depth)
         if tag not in VOID_TAGS:
-            stack.append((tag, names_of(tag, m[3])))
-            links += tag == "a"
+            open_.push(tag, names_of(tag, m[3]))
     flush()
     return out

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from .common import small_batches
+from .common import free_name, small_batches
 from .html_blocks import Block, blocks_of
 from .html_pages import PageMaker
 
@@ -35,30 +36,28 @@ HIDDEN = 16
 TRAIN_PAGES, ROUNDS = 900, 10
 #: Padded cells scored at once; bounds memory whatever the pages' lengths.
 CELLS = 200_000
+#: Blocks of one page whose vectors are held at once.
+LONG = 4096
 
 
 @lru_cache(maxsize=100_000)
-def path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Hashed entries of a path: tags, names of classes and ids, and the innermost tag."""
-    slots = set()
-    for entry in path:
-        tag, *names = entry.split(" ")
-        slots.add(zlib.crc32(b"t" + tag.encode()) % PATH)
-        slots.update(zlib.crc32(b"n" + n.encode()) % PATH for n in names)
-    slots.add(zlib.crc32(b"i" + (path[-1].split(" ")[0] if path else "").encode()) % PATH)
-    return tuple(slots)
-
-
-def block_vectors(blocks: list[Block]) -> np.ndarray:
+def entry_slots(entry: str) -> tuple[int, ...]:
+    """Hashed entries of a path entry: its tag and the names of its classes and ids."""
+    tag, *names = entry.split(" ")
+    return tuple({zlib.crc32(b"t" + tag.encode()) % PATH, *(zlib.crc32(b"n" + n.encode()) % PATH for n in names)})
+
+
+def block_vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row per block; first: number of blocks of the page before these, total: all of the page."""
     x = np.zeros((len(blocks), INPUT), np.float32)
+    total = total or len(blocks)
     for i, b in enumerate(blocks):
-        row, words = x[i], b.text.split(" ")
-        row[list(path_slots(b.path))] = 1.0
-        for w in words[:64]:
-            row[PATH + zlib.crc32(w.lower().encode()[:12]) % WORDS] += 1.0
-        row[PATH : PATH + WORDS] /= 4 * np.sqrt(len(words[:64]))
+        row, words = x[i], b.text.lower().encode("utf-8").split(b" ")
+        row[list(b.marks)] = 1.0
+        row[zlib.crc32(b"i" + b.tag.encode()) % PATH] = 1.0
+        row[PATH : PATH + WORDS] = np.bincount([zlib.crc32(w) % WORDS for w in words], minlength=WORDS) / (4 * np.sqrt(len(words)))
         n = len(b.text)
-        row[-SHARES:] = [1.0, np.log1p(n) / 6, np.log1p(len(words)) / 4, b.linked / n, (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?\"'»”", min(len(b.path), 20) / 10, i / len(blocks)]
+        row[-SHARES:] = [1.0, np.log1p(n) / 6, np.log1p(len(words)) / 4, b.linked / n, (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?\"'»”", min(b.depth, 20) / 10, (first + i) / total]
     return x
 
 
@@ -72,11 +71,13 @@ class Labeller:
         for d in "fb":
             self.p |= {f"w{d}": init(INPUT, 4 * HIDDEN) * 0.5, f"u{d}": init(HIDDEN, 4 * HIDDEN), f"c{d}": np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN)}
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states of one direction; x: (pages, blocks, INPUT)."""
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states of one direction; x: (pages, blocks, INPUT). state: (h, c) to start from, then the last ones."""
         rows, steps, _ = x.shape
         pre = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
         h = c = np.zeros((rows, HIDDEN), np.float32)
+        if state:
+            h, c = state
         out = np.zeros((rows, steps, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = pre[:, t] + h @ self.p[f"u{d}"]
@@ -89,8 +90,21 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, g, tc, m))
             c, h = m * c_new, m * o * tc
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def page_logits(self, blocks: list[Block]) -> np.ndarray:
+        """Log-odds of a page of any length; features of LONG blocks are held at once."""
+        z = np.full(len(blocks), self.p["bias"][0], np.float32)
+        starts = range(0, len(blocks), LONG)
+        for k, d in enumerate("fb"):
+            state: list = []
+            for at in starts if d == "f" else reversed(starts):
+                x = block_vectors(blocks[at : at + LONG], at, len(blocks))[None]
+                z[at : at + LONG] += (self.run(x, np.ones(x.shape[:2], np.float32), d, state=state) @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN])[0]
+        return z
+
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return self.run(x, mask, "f") @ self.p["out"][:HIDDEN] + self.run(x, mask, "b") @ self.p["out"][HIDDEN:] + self.p["bias"]
 
@@ -125,7 +139,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def training_page(maker: PageMaker) -> tuple[np.ndarray, np.ndarray]:
     html, marked = maker.page()
-    blocks = blocks_of(html)
+    blocks = blocks_of(html, entry_slots)
     good, labels = False, []
     for b in blocks_of(marked):
         # marks around an article part end up in or beside its blocks; blocks of marks alone have no twin
@@ -173,7 +187,7 @@ def trained(seed: int = 11) -> Labeller:
 
 
 def main_texts(model: Labeller, htmls: list[str]) -> list[str]:
-    pages = [blocks_of(h) for h in htmls]
+    pages = [blocks_of(h, entry_slots) for h in htmls]
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
     out = [""] * len(pages)
     at = 0
@@ -182,8 +196,10 @@ def main_texts(model: Labeller, htmls: list[str]) -> list[str]:
         while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= CELLS // 8 and end - at < 256:
             end += 1
         pick = order[at:end]
-        x, mask = padded([block_vectors(pages[i]) for i in pick])
-        z = model.logits(x, mask)
+        if len(pages[pick[0]]) > LONG:
+            z = [model.page_logits(pages[i]) for i in pick]
+        else:
+            z = model.logits(*padded([block_vectors(pages[i]) for i in pick]))
         for k, i in enumerate(pick):
             out[i] = "\n".join(b.text for b, s in zip(pages[i], z[k], strict=False) if s > 0)
         at = end
@@ -191,10 +207,9 @@ def main_texts(model: Labeller, htmls: list[str]) -> list[str]:
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out: str = "main_text") -> DataFrame:
-    """pages with the article's text in a new column."""
+    """pages with the article's text in a new last column ``out`` (underscores before it if pages has one)."""
     small_batches(pages.sparkSession)
-    kinds = pages.schema
-    model = trained()
+    model, out = trained(), free_name(pages, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,9 +218,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out: str = "main_text")
                 texts = main_texts(model, [h or "" for h in part.column(html_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
 
-    from pyspark.sql.types import StringType, StructType
-
-    return pages.mapInArrow(run, StructType([*kinds.fields]).add(out, StringType()))
+    return pages.mapInArrow(run, StructType([*pages.schema.fields]).add(out, StringType()))
 
 
 def op8_html_extract(spark, sf_dir: str) -> DataFrame:
