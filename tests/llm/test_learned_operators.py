@@ -103,6 +103,14 @@ def test_chain_equals_enumeration():
     assert pairs.sum() == pytest.approx(3)
 
 
+def test_embedding_extremes_and_repeated_ids(spark):
+    huge, tiny = [1e200, 1e200, 0.0], [1e-200, 1e-200, 1e-220]
+    rows = [(1, huge), (2, tiny), (3, [1.0, 1.0, 0.0]), (4, [0.0, 0.0, 1e-300]), (5, [0.0, 0.0, -1.0]), (6, [0.0, 0.0, 5e-324]), (7, [1.0, float("inf"), 0.0]), (8, [1.0, None, 0.0]), (9, [])]
+    frame = spark.createDataFrame(rows + [(10, [0.0, 0.0, -2.0]), (10, [0.0, 0.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(frame).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (5, 1, 5), (6, 2, 4), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 1, 5), (10, 2, 4)]
+
+
 def test_quality_reads_whole_words_lines_and_texts(spark, monkeypatch):
     long = b"x" * 16
     assert Q.word_slots(long + b"tail-one-aaa") != Q.word_slots(long + b"tail-two-aaa")

@@ -7,6 +7,7 @@ lost executor costs only its own running tasks.
 from __future__ import annotations
 
 import bisect
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured: a temporary one on a local master (tests), else an error,
+    since executors on other machines would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")

@@ -18,7 +18,9 @@ a block pair emits partial counts and spanning links per row, never its pairs.
 
 Edge cases: null, empty, zero or non-finite vectors and rows without an id link with nothing and
 are their own component; vectors of different dimensions never link; rows that repeat an id are
-separate vectors of one node; an empty table gives no rows.
+separate vectors, but different ones for which no smaller id stands are one node: they get one component
+and the sum of their links;
+components of any finite size are scaled before squaring; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,18 +147,27 @@ def matrix(column: pa.Array, dtype: str) -> np.ndarray:
 
 def usable_rows(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, vector as bytes or null, hash of the bytes, dimension)."""
+        """(id, vector as bytes or null, hash of the bytes, dimension). Vectors are scaled by a power of two, which changes
+        no cosine, so that their largest component is near 1."""
         import xxhash
 
         for batch in batches:
-            blobs, keys, dims = [], [], []
-            for id_, v in zip(batch.column(0), batch.column(1), strict=True):
-                x = None if not v.is_valid or not id_.is_valid else np.array(v.as_py(), dtype=np.float64)
-                ok = x is not None and len(x) and np.isfinite(x).all() and x.any() and np.isfinite(n := float(x @ x)) and n > 0
-                blob = (x + 0.0).astype(dtype).tobytes() if ok else None
-                blobs.append(blob)
-                keys.append(xxhash.xxh3_128_digest(blob) if ok else None)
-                dims.append(len(x) if ok else None)
+            blobs: list[bytes | None] = [None] * batch.num_rows
+            dims: list[int | None] = [None] * batch.num_rows
+            vectors = batch.column(1)
+            size = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for d in np.unique(size[known & (size > 0)]).tolist():
+                rows = np.flatnonzero(known & (size == d))
+                flat = vectors.take(pa.array(rows)).flatten()
+                x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)  # nulls become nan
+                most = np.abs(x).max(axis=1)
+                ok = np.isfinite(x).all(axis=1) & (most > 0)
+                rows, x = rows[ok], x[ok]
+                x = np.ldexp(x, -np.frexp(most[ok])[1][:, None]) + 0.0
+                for r, v in zip(rows.tolist(), x.astype(dtype), strict=True):
+                    blobs[r], dims[r] = v.tobytes(), d
+            keys = [xxhash.xxh3_128_digest(b) if b else None for b in blobs]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], ["id", "vector", "key", "dim"])
 
     return run
