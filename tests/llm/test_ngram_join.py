@@ -60,8 +60,8 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch, seed, k, per
 def test_one_large_near_group_in_many_blocks(spark, monkeypatch, counts):
     monkeypatch.setattr(N, "FREQUENT", 6)
     monkeypatch.setattr(N, "MOST_FREQUENT", 20)
-    monkeypatch.setattr(N, "LIST_BLOCK", (16, 1 << 20))
-    monkeypatch.setattr(N, "GROUP_BLOCK", (8, 1 << 20))
+    monkeypatch.setattr(N, "LIST_BLOCK", (16, 100_000))
+    monkeypatch.setattr(N, "GROUP_BLOCK", (8, 100_000))
     docs = corpus(5, groups=2, size=60, words=50)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     expected = want(docs, 4, 85)

@@ -58,11 +58,12 @@ COUNT_TOKENS, COUNT_LEAST = 1_000_000, 3
 SENT = 500_000
 #: Lists up to SHORT members give their pairs.
 SHORT = 6
-#: Rows and bytes of a block: of bitmaps in a long list, of full sets in a candidate group.
-LIST_BLOCK, GROUP_BLOCK = (4096, 16 << 20), (1024, 8 << 20)
+#: Rows and tokens of a block: of bitmaps in a long list, of full sets in a candidate group.
+LIST_BLOCK, GROUP_BLOCK = (4096, 64_000_000), (1024, 1_000_000)
 #: Tokens held by fewer sets of a block are counted pair by pair, the others by a matrix product.
 DENSE, CELLS = 16, 4_000_000
-IDS_BROADCAST = 1_000_000
+#: Largest tables that are broadcast, by counted rows: ids, and rows of some eight numbers.
+IDS_BROADCAST, ROWS_BROADCAST = 1_000_000, 200_000
 BITMAP = 256
 
 
@@ -138,8 +139,8 @@ def parity(tokens: np.ndarray, bits: int) -> bytes:
 
 
 def sketch_bits(n: int) -> int:
-    """About four bits a token, a power of two."""
-    return 1 << max(6, (4 * n - 1).bit_length())
+    """One to two bits a token, a power of two."""
+    return max(BITMAP, 1 << (n - 1).bit_length()) if n else BITMAP
 
 
 def need(na, nb, percent: int):
@@ -422,24 +423,25 @@ def block_rows(percent: int, exact: bool, counts: bool):
     return run
 
 
-def in_blocks(rows: DataFrame, scratch: Scratch, *, percent: int, exact: bool, counts: bool, limit: tuple[int, int]) -> DataFrame:
-    """rows (list, node, n, weight, data) -> (node, links, centre): links counted and joined inside every list.
+def in_blocks(rows: DataFrame, data: DataFrame, scratch: Scratch, *, percent: int, exact: bool, counts: bool, limit: tuple[int, int]) -> DataFrame:
+    """rows (list, node, n, weight), data (node, data) -> (node, links, centre): links counted and joined inside every list.
 
-    A list is cut into blocks of at most about ``limit`` rows and bytes. For counts, all pairs of blocks
+    A list is cut into blocks of at most about ``limit`` rows and tokens. For counts, all pairs of blocks
     are compared. Otherwise each block is compared with itself, and then only rows outside their
-    list's largest component with the rows of other components."""
+    list's largest component with the rows of other components. Rows are dealt before they get their data."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most_rows, most_bytes = limit
-    sized = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("data")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("m") / most_rows), F.ceil(F.col("bytes") / most_bytes)).cast("int")
-    sized = scratch.table(sized.where("m > 1").select(F.col("list").alias("_list"), blocks.alias("blocks")), "sized")
+    blocks = lambda m, tokens: F.greatest(F.ceil(F.col(m) / limit[0]), F.ceil(F.col(tokens) / limit[1])).cast("int")
+    sized = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).where("m > 1")
+    sized = scratch.table(sized.select(F.col("list").alias("_list"), blocks("m", "tokens").alias("blocks")), "sized")
     several = sized.where("blocks > 1").head(1)
     placed = rows.join(sized, F.col("list") == F.col("_list")).drop("_list").withColumn("own", _block(F.col("node"), F.col("blocks")))
     done = block_rows(percent, exact, counts)
-    columns = ["list", "bi", "bj", "side", "node", "n", "weight", "label", "data"]
+    narrow = ["list", "bi", "bj", "side", "node", "n", "weight", "label"]
 
     def solved(dealt: DataFrame, name: str) -> DataFrame:
-        sorted_ = dealt.select(columns).repartition(parts, "list", "bi", "bj").sortWithinPartitions("list", "bi", "bj")
+        dealt = scratch.table(dealt.select(narrow), "dealt")
+        with_data = data.join(small(dealt, dealt.count(), ROWS_BROADCAST), "node").select(*narrow, "data")
+        sorted_ = with_data.repartition(parts, "list", "bi", "bj").sortWithinPartitions("list", "bi", "bj")
         return scratch.table(sorted_.mapInArrow(done, "node long, links long, centre long"), name)
 
     own, other = F.col("own"), F.col("other")
@@ -453,14 +455,14 @@ def in_blocks(rows: DataFrame, scratch: Scratch, *, percent: int, exact: bool, c
     names = components(first.select(F.col("node").alias("a"), F.col("centre").alias("b")), scratch)
     wide = placed.where("blocks > 1").join(names.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("_node", "component")
     wide = scratch.table(wide, "wide")
-    shares = wide.groupBy("list", "label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("data")).alias("bytes"))
-    total = shares.groupBy("list").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("rest"), (F.sum("bytes") - F.max_by("bytes", F.struct("m", "label"))).alias("rest_bytes")).where("rest > 0")
-    rest_blocks = F.greatest(F.ceil(F.col("rest") / most_rows), F.ceil(F.col("rest_bytes") / most_bytes)).cast("int")
-    total = scratch.table(total.select(F.col("list").alias("_list"), "main", rest_blocks.alias("rest_blocks")), "apart")
+    shares = wide.groupBy("list", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+    largest = F.struct("m", "label")
+    total = shares.groupBy("list").agg(F.max_by("label", largest).alias("main"), (F.sum("m") - F.max("m")).alias("rest"), (F.sum("tokens") - F.max_by("tokens", largest)).alias("rest_tokens")).where("rest > 0")
+    total = scratch.table(total.select(F.col("list").alias("_list"), "main", blocks("rest", "rest_tokens").alias("rest_blocks")), "apart")
     apart = wide.join(total, F.col("list") == F.col("_list"))
     rest = apart.where("label <> main").withColumn("bi", _block(F.col("node"), F.col("rest_blocks"))).withColumn("bj", _every("blocks")).withColumn("side", F.lit(1))
     every = apart.withColumn("bj", own).withColumn("bi", _every("rest_blocks")).withColumn("side", F.lit(2))
-    return first.unionByName(solved(rest.select(columns).unionByName(every.select(columns)), "second"))
+    return first.unionByName(solved(rest.select(narrow).unionByName(every.select(narrow)), "second"))
 
 
 def _block(node: Column, blocks: Column) -> Column:
@@ -523,10 +525,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     near = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(alike_pairs(percent), "a long, b long")
     near = scratch.table(near, "near")
     scratch.drop(pairs)
-    long_lists = shared.where(F.col("df") > SHORT).join(nodes.select("node", "n", F.col("sketch").alias("data")), "node")
-    long_lists = scratch.table(long_lists.select(F.col("sig").alias("list"), "node", "n", F.lit(1).cast("long").alias("weight"), "data"), "long")
+    long_lists = shared.where(F.col("df") > SHORT).join(nodes.select("node", "n"), "node")
+    long_lists = scratch.table(long_lists.select(F.col("sig").alias("list"), "node", "n", F.lit(1).cast("long").alias("weight")), "long")
     scratch.drop(shared)
-    stars = in_blocks(long_lists, scratch, percent=percent, exact=False, counts=False, limit=LIST_BLOCK)
+    stars = in_blocks(long_lists, nodes.select("node", F.col("sketch").alias("data")), scratch, percent=percent, exact=False, counts=False, limit=LIST_BLOCK)
 
     # every link lies inside a group of what may link
     groups = components(near.unionByName(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"))), scratch)
@@ -535,7 +537,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     ids = small(members.select(F.col("doc").alias("id")), members.count(), IDS_BROADCAST)
     full = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("text").mapInArrow(whole_sets(words), "node long, data binary")
     full = scratch.table(full, "full")
-    found = in_blocks(members.join(full, "node").select("list", "node", "n", "weight", "data"), scratch, percent=percent, exact=True, counts=count_links, limit=GROUP_BLOCK)
+    found = in_blocks(members.select("list", "node", "n", "weight"), full, scratch, percent=percent, exact=True, counts=count_links, limit=GROUP_BLOCK)
     scratch.drop(full)
     names = components(found.select(F.col("node").alias("a"), F.col("centre").alias("b")), scratch)
 
