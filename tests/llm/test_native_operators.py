@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
 from tidemark.llm.mixing import mix, op6_mixing
@@ -130,6 +132,32 @@ def test_redact(spark):
     assert got == {1: "a [SECRET] b", 2: "clean", 3: None}
 
 
+def plain_redact(text: str) -> str:
+    out, at = "", 0
+    for start, _, _, end in plain_spans(text, RULES):
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_texts_of_many_secrets_and_names_that_clash(spark):
+    dense = " é".join(f"token={i:032x} AKIA{'Q' * (i % 30)}" for i in range(4000))
+    docs = spark.createDataFrame([(1, dense), (2, "é" * 5000 + dense[:3000] + "z" * 5000), (3, "deadbeef" * 4)], "doc_id long, text string")
+    names = ("secret_spans", "_rules", "_found", "_key", "rules", "key", "spans", "before")
+    docs = docs.withColumns({n: F.lit("own") for n in names})
+    start = time.time()
+    found = scan_secrets(docs)
+    assert found.columns == [*docs.columns, "_secret_spans"]
+    rows = found.collect()
+    assert time.time() - start < 60
+    for r in rows:
+        assert [(s["start"], s["order"], s["kind"], s["end"]) for s in r["_secret_spans"]] == plain_spans(r["text"], RULES)
+    masked = redact(found, spans_col="_secret_spans").collect()
+    assert time.time() - start < 120 and {r["secret_spans"] for r in masked} == {"own"}
+    assert {r["doc_id"]: r["text"] for r in masked} == {r["doc_id"]: plain_redact(r["text"]) for r in docs.collect()}
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == [] and trigram_query("a.c") == []
     assert trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]

@@ -11,13 +11,18 @@ The main path is DataFrame functions: match offsets come from splitting the text
 and summing lengths, in code points. Matches are leftmost and do not overlap within a rule;
 matches that miss the rule's minimum length are dropped after matching.
 
-Edge cases: null text counts as empty; repeated rows each keep their own result; texts of any
-length are scanned whole; an empty table gives no rows. Rows are keyed by (id, text hash): rows
-that collide share candidates, never spans, since spans come from a row's own text.
+Candidates come back to the texts by key; while their counted number allows it they are broadcast,
+so no text is shuffled. Positions are running sums made in chunks, so the work of a text with many
+matches grows with their number times ``CHUNK``.
+
+Edge cases: null text counts as empty (``redact`` leaves it null); repeated rows each keep their own
+result; texts of any length are scanned whole; an empty table gives no rows. Rows are keyed by (id, text
+hash): rows that collide share candidates, never spans, since spans come from a row's own text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as C
@@ -26,7 +31,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, literal_table
+from .common import Scratch, free_name, literal_table, small
 
 
 @dataclass(frozen=True)
@@ -55,6 +60,10 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 MOST_STRINGS = 64
 SMALL_CLASS = 5
+#: Elements of a chunk of running values; characters of a block of text.
+CHUNK, BLOCK = 128, 1024
+#: Candidate keys that are broadcast.
+KEYS_BROADCAST = 300_000
 
 Clause = list[list[str]]
 
@@ -128,39 +137,51 @@ def candidates(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) ->
     # ASCII letters only: Unicode lower-casing of a whole text costs more and finds no more
     low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in named]))
-    postings = rows.select(key, low.alias("_low")).select(key, F.explode(found).alias("trigram"))
+    postings = rows.select(F.col(key).alias("key"), low.alias("_low")).select("key", F.explode(found).alias("trigram"))
     lookup = F.broadcast(literal_table(spark, terms, "trigram string, rule string, clause int, alt int, terms int, clauses int"))
     lists = postings.join(lookup, "trigram")
-    by_alt = lists.groupBy(key, "rule", "clause", "alt", "terms", "clauses").agg(F.count_distinct("trigram").alias("n")).where("n = terms")
-    by_rule = by_alt.groupBy(key, "rule", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
-    return by_rule.groupBy(key).agg(F.collect_set("rule").alias("_rules"))  # at most one entry a rule
+    by_alt = lists.groupBy("key", "rule", "clause", "alt", "terms", "clauses").agg(F.count_distinct("trigram").alias("n")).where("n = terms")
+    by_rule = by_alt.groupBy("key", "rule", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
+    return by_rule.groupBy("key").agg(F.collect_set("rule").alias("_rules"))  # at most one entry a rule
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of numbers, what combine makes of 0 and those before it. values must not be empty."""
+    fold = lambda array, of: F.aggregate(
+        array,
+        F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before")),
+        lambda acc, x: F.struct(combine(acc["all"], of(x)).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before")),
+    )
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+    local = F.transform(chunks, lambda c: fold(c, lambda x: x))
+    return let(local, lambda parts: F.flatten(F.zip_with(parts, fold(parts, lambda x: x["all"])["before"], lambda p, head: F.transform(p["before"], lambda x: combine(head, x)))))
+
+
+SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, order, end, kind>> of a rule's kept matches."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    counted = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    pieces = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(
-        F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("own"))),
-        counted,
-        lambda x, c: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), F.length(c).alias("counted")),
-    )
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    folded = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.when(
-                x["counted"] >= rule.least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("order"), (acc["at"] + x["gap"] + x["own"]).alias("end"), F.lit(rule.kind).alias("kind")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.size(whole) > 0, folded).otherwise(empty)
+
+    def spans(own: Column) -> Column:
+        counted = own if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(own)), F.length)
+        sizes = F.zip_with(F.zip_with(gaps, own, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("own"))), counted, lambda x, c: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), F.length(c).alias("counted")))
+        return let(sizes, placed)
+
+    def placed(sizes: Column) -> Column:
+        before = let(F.transform(sizes, lambda x: x["gap"] + x["own"]), lambda steps: running(steps, lambda a, b: a + b))
+        made = F.zip_with(sizes, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("order"), (at + x["gap"] + x["own"]).alias("end"), F.lit(rule.kind).alias("kind"), x["counted"].alias("counted")))
+        return F.transform(F.filter(made, lambda s: s["counted"] >= rule.least), lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"])).cast(SPANS)
+
+    return let(whole, lambda own: F.when(F.size(own) > 0, spans(own)).otherwise(F.array().cast(SPANS)))
 
 
 def fast(rule: Rule) -> Rule:
@@ -173,42 +194,53 @@ def fast(rule: Rule) -> Rule:
     return rule
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``secret_spans``: array of (start, order, end, kind), by start, then rule order."""
-    key, rules_col, text = free_name(docs, "_key"), "_rules", F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(key, F.struct(F.col(id_col), F.xxhash64(text)))
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """docs and, last, ``out``: array of (start, order, end, kind), by start, then rule order; underscores go before a
+    name that docs has."""
+    scratch = Scratch(docs.sparkSession, "secrets")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own_key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    found = candidates(rows.withColumn("_text", text), key, "_text", tuple(indexed)).withColumnRenamed(key, "_found")
-    joined = rows.join(found, rows[key].eqNullSafe(found["_found"]), "left").drop("_found")
+    found = candidates(docs.select(own_key.alias("key"), text.alias("text")), "key", "text", tuple(indexed))
+    found = scratch.table(found, "candidates")
+    key, found_key, kinds, out = (free_name(docs, n) for n in ("_key", "_found", "_rules", out))
+    named = found.select(F.col("key").alias(found_key), F.col("_rules").alias(kinds))
+    joined = docs.withColumn(key, own_key).join(small(named, found.count(), KEYS_BROADCAST), F.col(key).eqNullSafe(F.col(found_key)), "left")
     spans = []
     for order, rule in enumerate(rules):
         own = rule_spans(text, fast(rule), order)
         if rule in indexed:
-            own = F.when(F.array_contains(rules_col, rule.kind), own).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+            own = F.when(F.array_contains(kinds, rule.kind), own).otherwise(F.array().cast(SPANS))
         spans.append(own)
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop(key, rules_col)
+    return joined.withColumn(out, F.array_sort(F.concat(*spans))).drop(key, found_key, kinds)
 
 
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every found span of text by a mark; overlapping spans become one."""
-    text = F.col(text_col)
-    folded = F.aggregate(
-        "secret_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["end"] > acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            ),
-        ).otherwise(acc),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return docs.withColumn(text_col, F.when(F.size("secret_spans") > 0, folded).otherwise(text))
+def redact(docs: DataFrame, *, text_col: str = "text", spans_col: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of a text replaced by a mark; overlapping spans become one. A null text stays null."""
+    text, spans = F.col(text_col), F.col(spans_col)
+
+    def masked(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """Characters from a to b, from the blocks that hold them."""
+            which = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))
+            part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * BLOCK, F.lit(0)) + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(which, part), "")).otherwise("")
+
+        def joined(ends: Column) -> Column:
+            placed = F.zip_with(spans, ends, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
+            pieces = F.transform(F.filter(placed, lambda x: x["start"] >= x["at"]), lambda x: between(x["at"], x["start"]))
+            last = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.array_join(F.concat(pieces, F.array(between(last, F.length(text)))), mark)
+
+        before = let(F.transform(spans, lambda s: s["end"]), lambda ends: running(ends, lambda a, b: F.greatest(a, b)))
+        return let(before, joined)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return docs.withColumn(text_col, F.when(F.size(spans) > 0, let(blocks, masked)).otherwise(text))
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
