@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -58,6 +60,11 @@ def test_mix_edges(spark):
     got = {(r["doc_id"], r["size"]): r for r in mix(docs).collect()}
     assert got[(4, 0)]["target"] == 0 and got[(4, 0)]["taken"] == 0 and len(got) == 4
     assert mix(docs.limit(0)).count() == 0
+    names = ("size", "source_size", "target", "copies", "taken", "quota", "whole", "cut_bucket", "cut_hash", "before", "h", "_h", "_plan", "words")
+    clash = mix(docs.withColumns({n: F.lit("own") for n in names}))
+    assert clash.columns == [*docs.columns, *names[:], *("_" + n for n in names[:5])]
+    plain = sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in mix(docs).collect())
+    assert sorted((r["doc_id"], r["_size"], r["_target"], r["_taken"]) for r in clash.where("target = 'own' and _plan = 'own'").collect()) == plain
 
 
 @pytest.mark.parametrize(("good", "bad", "drawn"), [(0, 5, 3), (5, 0, 3), (7, 9, 16), (50, 70, 30), (4_000_000_000, 9_000_000_000, 1_000_000)])
@@ -95,6 +102,20 @@ def test_shard_edges(spark):
     got = shuffle_shards(rows, ["doc_id", "shard_key"], shards=4).collect()
     assert len(got) == 6 and max(Counter(r["shard"] for r in got).values()) == 2
     assert shuffle_shards(rows.limit(0), ["doc_id"], shards=4).count() == 0
+    names = ("b", "ends", "shard", "slot", "_block", "_at", "_range", "_offset", "count", "s", "r", "n", "_ends")
+    clash = shuffle_shards(rows.withColumns({n: F.lit("own") for n in names}), ["doc_id", "shard_key"], shards=4)
+    assert clash.columns == ["doc_id", "shard_key", *names, "_shard", "_slot"]
+    assert sorted((str(r["doc_id"]), r["_shard"], r["_slot"], r["slot"], r["_block"]) for r in clash.collect()) == sorted((str(r["doc_id"]), r["shard"], r["slot"], "own", "own") for r in got)
+
+
+def test_shard_digests(spark):
+    texts = [(1, "aé"), (2, ""), (3, None), (4, "x" * 3_000_000)]
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        got = {r["doc_id"]: r for r in op4_sharding(spark, folder).collect()}
+    for d, t in texts:
+        raw = (t or "").encode()
+        assert (got[d]["size"], got[d]["text_crc32"], got[d]["law"], got[d]["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
 
 
 def plain_spans(text: str, rules) -> list[tuple[int, int, str, int]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_buckets, ordered_buckets
+from .common import Scratch, arrow_buckets, free_name, ordered_buckets
 from .shingles import mix, text_words
 
 BITS = 128
@@ -65,13 +65,15 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with a column of hexadecimal fingerprints."""
+    """docs and, last, hexadecimal fingerprints of whole texts in ``out`` (underscores before it if docs has one).
+
+    Null and empty texts, and texts without words, have the zero fingerprint; equal texts have equal ones."""
     import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t or "").hex()).astype(object)
 
-    return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), F.pandas_udf(run, "string")(F.col(text_col)))
 
 
 def block_radii(radius: int) -> list[int]:
@@ -191,8 +193,11 @@ def search(prints: DataFrame, queries: DataFrame, *, radius: int, inner: int = R
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, *, col: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, n_within): rows of prints within the radius of each distinct query fingerprint."""
-    found = search(prints.select(F.col(col).alias("fp")), queries.select(F.col(col).alias("fp"), F.lit(0).cast("long").alias("by")), radius=radius)
+    """(_q, n_within): rows of prints within the radius of each distinct query fingerprint.
+
+    Null fingerprints of either side are left out; a query far from all prints has no row; repeated queries have one."""
+    known = F.col("fp").isNotNull()
+    found = search(prints.select(F.col(col).alias("fp")).where(known), queries.select(F.col(col).alias("fp"), F.lit(0).cast("long").alias("by")).where(known), radius=radius)
     return found.where("asks").select(F.col("fp").alias("_q"), F.col("n").alias("n_within"))
 
 

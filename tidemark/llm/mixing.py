@@ -12,7 +12,8 @@ falls, and only that bucket's rows are ordered. The main path is DataFrame opera
 
 Edge cases: null text or source counts as empty text or as a source of its own (last in order);
 sources without words get target 0 and their documents are not taken; rows that repeat a doc_id
-share its hash, so they are taken together; an empty table gives an empty result.
+(or have none) share its hash, so they are taken together; texts of any length are counted whole; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,14 +58,15 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All rows of docs with size, source_size, target, copies and taken = copies * size."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    size, h, out_source = free_name(docs, "size"), free_name(docs, "_h"), free_name(docs, "_source")
-    base = docs.withColumn(size, F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")).withColumn(h, seeded_hash(F.col(id_col), seed))
-    bucket = F.shiftright(h, 40)
-
-    stats = scratch.table(base.groupBy(F.col(source_col).alias("source"), bucket.alias("bucket")).agg(F.sum(size).alias("words")), "words")
+    """All rows of docs and, last, size, source_size, target, copies and taken = copies * size.
+
+    Underscores go before a name that docs has."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    source, words, h = F.col(source_col), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), seeded_hash(F.col(id_col), seed)
+    sized = docs.select(source.alias("source"), words.alias("size"), F.shiftright(h, 40).alias("bucket"))
+
+    # tables of a row per source (and bucket) from here on; the sources are ordered in one task
+    stats = scratch.table(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "words")
     sources = stats.groupBy("source").agg(F.sum("words").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     pick = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
@@ -81,19 +83,25 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     cut = scratch.table(cut.select("source", "source_size", "target", "whole", "quota", F.col("cut.bucket").alias("cut_bucket"), F.coalesce("cut.before", F.lit(0)).alias("before")), "cut")
     cuts = small(cut, n := cut.count(), SOURCES_BROADCAST)
 
-    edge = base.select(F.col(source_col).alias(out_source), F.col(id_col).alias("_id"), size, h)
-    edge = edge.join(cuts, edge[out_source].eqNullSafe(cuts["source"]) & (F.shiftright(h, 40) == F.col("cut_bucket")))
-    run = F.sum(size).over(Window.partitionBy("source").orderBy(h).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    own = F.sum(size).over(Window.partitionBy("source", h))
-    edge = edge.withColumn("_before", F.col("before") + run - own).withColumn("_own", own)
-    last = edge.where(2 * F.col("_before") + F.col("_own") <= 2 * F.col("quota")).groupBy("source").agg(F.max(h).alias("cut_hash"))
+    # words are counted again only in the one bucket of a source where its cut falls
+    edge = docs.select(source.alias("_source"), h.alias("h"), F.col(text_col).alias("text"))
+    edge = edge.join(cuts, edge["_source"].eqNullSafe(cuts["source"]) & (F.shiftright("h", 40) == F.col("cut_bucket")))
+    edge = edge.select("source", "h", "before", "quota", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("size").over(Window.partitionBy("source", "h"))
+    edge = edge.withColumns({"first": F.col("before") + run - own, "own": own})
+    last = edge.where(2 * F.col("first") + F.col("own") <= 2 * F.col("quota")).groupBy("source").agg(F.max("h").alias("cut_hash"))
     plan = scratch.table(cut.join(last.withColumnRenamed("source", "_s"), cut["source"].eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
-    plan = small(plan.withColumnRenamed("source", "_plan_source"), n, SOURCES_BROADCAST)
 
-    early = F.col("cut_bucket").isNull() | (F.shiftright(h, 40) < F.col("cut_bucket")) | ((F.shiftright(h, 40) == F.col("cut_bucket")) & (F.col(h) <= F.coalesce("cut_hash", F.lit(-1))))
-    copies = F.when(F.col("source_size") > 0, F.col("whole") + F.when((F.col("quota") > 0) & early, 1).otherwise(0)).otherwise(0).cast("long")
-    joined = base.join(plan, base[source_col].eqNullSafe(plan["_plan_source"]))
-    return joined.select(*[base[c] for c in docs.columns], base[size].alias("size"), F.col("source_size"), F.col("target"), copies.alias("copies"), (copies * base[size]).alias("taken"))
+    names = {x: free_name(docs, x) for x in ("size", "source_size", "target", "copies", "taken", "_h", "_plan")}
+    mine, hashed = F.col(names["_plan"]), F.col(names["_h"])
+    plan = small(plan.select(F.struct("*").alias(names["_plan"])), n, SOURCES_BROADCAST)
+    joined = docs.withColumn(names["_h"], h).join(plan, source.eqNullSafe(mine["source"])).withColumn(names["size"], words)
+    bucket = F.shiftright(hashed, 40)
+    early = mine["cut_bucket"].isNull() | (bucket < mine["cut_bucket"]) | ((bucket == mine["cut_bucket"]) & (hashed <= F.coalesce(mine["cut_hash"], F.lit(-1))))
+    copies = F.when(mine["source_size"] > 0, mine["whole"] + F.when((mine["quota"] > 0) & early, 1).otherwise(0)).otherwise(0).cast("long")
+    made = [F.col(names["size"]), mine["source_size"].alias(names["source_size"]), mine["target"].alias(names["target"]), copies.alias(names["copies"]), (copies * F.col(names["size"])).alias(names["taken"])]
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *made)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

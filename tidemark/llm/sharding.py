@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, literal_table
+from .common import Scratch, free_name, literal_table
 
 SHARDS = 16
 BLOCKS = 1024
@@ -62,30 +62,33 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
 
 
 def shuffle_shards(df: DataFrame, key: list[str], *, shards: int = SHARDS, blocks: int = BLOCKS, ranges: int = RANGES, seed: int = 23) -> DataFrame:
-    """df with shard (0..shards-1) and slot (0.. without gaps in each shard), uniformly shuffled.
+    """df and, last, shard (0..shards-1) and slot (0.. without gaps in each shard), uniformly shuffled.
 
-    key: columns that tell rows apart; rows equal in all of them are interchangeable."""
+    key: columns that tell rows apart; rows equal in all of them are interchangeable. Underscores go before a
+    name that df has. A task orders the rows of a block, or of a shard's range: choose blocks and ranges by the rows."""
     spark = df.sparkSession
     scratch = Scratch(spark, "sharding")
+    block, at, ends, shard, slot, range_, offset = (free_name(df, n) for n in ("_block", "_at", "_ends", "shard", "slot", "_range", "_offset"))
     salted = lambda k: F.xxhash64(F.lit(seed * 1000 + k), *[F.col(c) for c in key])
-    rows = df.withColumn("_block", F.pmod(salted(0), F.lit(blocks)).cast("int"))
-    counts = {r["_block"]: r["count"] for r in rows.groupBy("_block").count().collect()}  # at most `blocks` rows
+    rows = df.withColumn(block, F.pmod(salted(0), F.lit(blocks)).cast("int"))
+    counts = {r[0]: r[1] for r in rows.groupBy(block).agg(F.count(F.lit(1))).collect()}  # at most `blocks` rows
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
-    ends = literal_table(spark, [{"b": b, "ends": np.cumsum(m).tolist()} for b, m in enumerate(matrix)], "b int, ends array<bigint>")
-
-    order = Window.partitionBy("_block").orderBy(salted(1), *key)
-    placed = rows.withColumn("_at", F.row_number().over(order) - 1).join(F.broadcast(ends), F.col("_block") == F.col("b"))
-    placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_at"))).cast("int"))
-    placed = placed.withColumn("_range", F.pmod(salted(2), F.lit(ranges)).cast("int"))
-    exchanged = scratch.table(placed.drop("_block", "_at", "b", "ends"), "exchanged")
-
-    sizes = exchanged.groupBy("shard", "_range").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("_range")) - F.col("count")
-    offsets = F.broadcast(sizes.select(F.col("shard").alias("_s"), F.col("_range").alias("_r"), before.alias("_offset")))  # shards * ranges rows
-    inner = Window.partitionBy("shard", "_range").orderBy(salted(3), *key)
-    out = exchanged.withColumn("_at", F.row_number().over(inner) - 1)
-    out = out.join(offsets, (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return out.withColumn("slot", (F.col("_offset") + F.col("_at")).cast("long")).drop("_s", "_r", "_offset", "_at", "_range")
+    drawn = literal_table(spark, [{"b": b, "ends": np.cumsum(m).tolist()} for b, m in enumerate(matrix)], "b int, ends array<bigint>")
+    drawn = drawn.select(F.struct("b", "ends").alias(ends))
+
+    order = Window.partitionBy(block).orderBy(salted(1), *key)
+    placed = rows.withColumn(at, F.row_number().over(order) - 1).join(F.broadcast(drawn), F.col(block) == F.col(ends)["b"])
+    placed = placed.withColumn(shard, F.size(F.filter(F.col(ends)["ends"], lambda e: e <= F.col(at))).cast("int"))
+    placed = placed.withColumn(range_, F.pmod(salted(2), F.lit(ranges)).cast("int"))
+    exchanged = scratch.table(placed.drop(block, at, ends), "exchanged")
+
+    sizes = exchanged.groupBy(F.col(shard).alias("s"), F.col(range_).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("s").orderBy("r")) - F.col("n")
+    offsets = F.broadcast(sizes.withColumn("before", before).select(F.struct("*").alias(offset)))  # shards * ranges rows
+    inner = Window.partitionBy(shard, range_).orderBy(salted(3), *key)
+    out = exchanged.withColumn(at, F.row_number().over(inner) - 1)
+    out = out.join(offsets, (F.col(shard) == F.col(offset)["s"]) & (F.col(range_) == F.col(offset)["r"]))
+    return out.withColumn(slot, (F.col(offset)["before"] + F.col(at)).cast("long")).drop(offset, at, range_)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
