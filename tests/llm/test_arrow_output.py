@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tidemark.llm")
+from tidemark.llm import arrow_output as A
 from tidemark.llm.arrow_output import SequenceFile, op9_arrow_output, read_documents, write_sequences
 from tidemark.llm.common import Scratch
 from tidemark.llm.tokens import default_vocabulary
@@ -49,3 +50,16 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     files = write_sequences(docs, Scratch(spark, "t").path("s"))
     assert files == [] and read_documents(spark, files).count() == 0
+
+
+def test_docs_in_batches_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(A, "DOCS_ROWS", 3)
+    monkeypatch.setattr(A, "BUCKET_BYTES", 40)
+    docs = spark.createDataFrame([(i // 2, f"word {i} " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    files = write_sequences(docs, Scratch(spark, "t").path("s"), length=8)
+    assert len(files) > 12 and sum(f["rows"] for f in files) == 40
+    got = sorted(map(tuple, read_documents(spark, files).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(i // 2 for i in range(40))
+    # rows of one id may come in either order, each with its own ids
+    assert sorted((r[0], r[2], r[3]) for r in got) == sorted((r[0], r[2], r[3]) for r in want((i // 2, f"word {i} " * (i % 5)) for i in range(40)))
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(40)]

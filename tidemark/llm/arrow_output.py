@@ -3,7 +3,8 @@
 Documents are dealt to buckets of ascending ids; one task writes a bucket's files:
 ``ids-<bucket>.arrow`` holds rows ``ids: fixed_size_list<uint16|uint32>[length]`` and ``mask:
 fixed_size_list<uint8>[length]`` (mask 0 pads the last row), in batches of ``BATCH_ROWS`` rows, and
-``docs-<bucket>.arrow`` holds (doc_id, start, n_tokens) in the bucket. Files are written under a
+``docs-<bucket>.arrow`` holds (doc_id, start, n_tokens) in the bucket, in batches too. The number of buckets
+follows the bytes of text, and writer and reader hold a batch at a time. Files are written under a
 temporary name and renamed, so a repeated task replaces its file whole. The folder may be in any
 store that pyarrow's file systems and Spark both reach.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,11 @@ from .tokens import default_vocabulary, encoder
 LENGTH = 2048
 END_ID = 1
 BATCH_ROWS = 64
-ENCODE_ROWS = 256
-BUCKETS_A_TASK = 3
+ENCODE_ROWS = 512
+#: More buckets than tasks even out what tasks get; a bucket has about BUCKET_BYTES of text at most.
+BUCKETS_A_TASK, BUCKET_BYTES = 3, 64 << 20
+#: Rows of a batch of a docs file.
+DOCS_ROWS = 8192
 
 
 def file_system(uri: str):
@@ -77,6 +82,11 @@ class SequenceWriter:
         self.out.close()
 
 
+class DocsFile(NamedTuple):
+    file: pa.RecordBatchFileWriter
+    schema: pa.Schema
+
+
 class SequenceFile:
     """Random access to one written file; rows and token ranges are views of the mapped file."""
 
@@ -111,8 +121,10 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # more buckets than tasks even out what tasks get
-    splits = ordered_buckets(docs, id_col, buckets or BUCKETS_A_TASK * parts)
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        buckets = max(BUCKETS_A_TASK * parts, -(-size // BUCKET_BYTES))
+    splits = ordered_buckets(docs, id_col, buckets)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -140,18 +152,24 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
         done: list[dict] = []
         now: dict = {}
 
+        def flush() -> None:
+            columns = [pa.array(now["ids"], now["docs"].schema.field(0).type), pa.array(now["starts"], pa.int64()), pa.array(now["lengths"], pa.int64())]
+            now["docs"].file.write_batch(pa.RecordBatch.from_arrays(columns, schema=now["docs"].schema))
+            now["rows"] += len(now["ids"])
+            for name in ("ids", "starts", "lengths"):
+                now[name].clear()
+
         def finish() -> None:
             if not now:
                 return
+            flush()
             now["out"].close()
-            now["sink"].close()
-            table = pa.table({"doc_id": pa.array(now["ids"], now["type"]), "start": pa.array(now["starts"], pa.int64()), "n_tokens": pa.array(now["lengths"], pa.int64())})
-            with fs.open_output_stream(now["tmp"] + ".docs") as f, pa.ipc.new_file(f, table.schema) as w:
-                w.write_table(table)
-            names = {now["tmp"]: f"{root}/ids-{now['bucket']:06d}.arrow", now["tmp"] + ".docs": f"{root}/docs-{now['bucket']:06d}.arrow"}
-            for a, b in names.items():
-                fs.move(a, b)
-            done.append({"bucket": now["bucket"], "tokens": now["out"].total, "rows": len(now["ids"])})
+            now["docs"].file.close()
+            for sink in now["sinks"]:
+                sink.close()
+            for kind in ("ids", "docs"):
+                fs.move(f"{now['tmp']}.{kind}", f"{root}/{kind}-{now['bucket']:06d}.arrow")
+            done.append({"bucket": now["bucket"], "tokens": now["out"].total, "rows": now["rows"]})
             now.clear()
 
         for batch in batches:
@@ -159,13 +177,16 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
                 if now.get("bucket") != bucket:
                     finish()
                     tmp = f"{root}/.{bucket:06d}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(tmp)
-                    now.update(bucket=bucket, tmp=tmp, sink=sink, out=SequenceWriter(sink, length, dtype), ids=[], starts=[], lengths=[], type=batch.schema.field(1).type)
+                    sinks = [fs.open_output_stream(f"{tmp}.{kind}") for kind in ("ids", "docs")]
+                    schema = pa.schema([("doc_id", batch.schema.field(1).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                    now.update(bucket=bucket, tmp=tmp, sinks=sinks, out=SequenceWriter(sinks[0], length, dtype), docs=DocsFile(pa.ipc.new_file(sinks[1], schema), schema), rows=0, ids=[], starts=[], lengths=[])
                 ids = np.frombuffer(unpress.decompress(blob.as_buffer()), dtype)
                 now["ids"].append(doc)
                 now["starts"].append(now["out"].total)
                 now["lengths"].append(len(ids))
                 now["out"].append(ids)
+                if len(now["ids"]) >= DOCS_ROWS:
+                    flush()
         finish()
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("rows", pa.int64())]))
@@ -187,13 +208,14 @@ def read_documents(spark: SparkSession, files: list[dict], id_type: str = "bigin
         for batch in batches:
             for r in batch.to_pylist():
                 fs, path = file_system(r["docs_uri"])
-                with fs.open_input_file(path) as f:
-                    table = pa.ipc.open_file(f).read_all()
                 ids = SequenceFile(r["uri"])
-                where = zip(table["start"].to_pylist(), table["n_tokens"].to_pylist(), strict=True)
-                crcs = [zlib.crc32(ids.tokens(a, n).astype("<u4").tobytes()) for a, n in where]
-                table = table.set_column(1, "start", pa.array(table["start"].to_numpy() + r["start"])).append_column("ids_crc32", pa.array(crcs, pa.int64()))
-                yield from table.combine_chunks().to_batches()
+                with fs.open_input_file(path) as f:
+                    docs = pa.ipc.open_file(f)
+                    for k in range(docs.num_record_batches):
+                        part = docs.get_batch(k)
+                        start, n = (part.column(c).to_numpy() for c in ("start", "n_tokens"))
+                        crcs = [zlib.crc32(ids.tokens(a, m).astype("<u4").tobytes()) for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(start + r["start"]), part.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = literal_table(spark, files, "uri string, docs_uri string, start bigint")
     return listed.repartition(max(1, len(files)), "uri").mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")

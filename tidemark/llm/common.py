@@ -105,20 +105,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Keys that are sampled for each bucket's bounds.
-KEYS_A_BUCKET = 40
+#: Keys that are sampled for each bucket's bounds, and in all.
+KEYS_A_BUCKET, KEYS = 40, 1_000_000
 
 
 def ordered_buckets(df: DataFrame, key: str, parts: int) -> list:
     """Split points of key for at most ``parts`` buckets of about equal row counts.
 
-    They come from a sample of about KEYS_A_BUCKET keys a bucket over the whole table, as for any
-    range partitioning; where they fall only decides the balance."""
+    They come from a sample of about KEYS_A_BUCKET keys a bucket (about KEYS at most) over the whole table,
+    as for any range partitioning; where they fall only decides the balance."""
     keys = df.select(key).where(F.col(key).isNotNull())
     n = keys.count()
     if parts < 2 or not n:
         return []
-    share = KEYS_A_BUCKET * parts / n
+    share = min(KEYS_A_BUCKET * parts, KEYS) / n
     got = sorted(r[0] for r in (keys if share >= 1 else keys.sample(share, seed=7)).collect())
     return sorted({got[len(got) * k // parts] for k in range(1, parts)}) if got else []
 
