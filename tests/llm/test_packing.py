@@ -76,3 +76,25 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, rank int, length int")
     check(pack(docs, capacity=64).collect(), rows, 64)
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_ids_equal_the_library(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import tokens as T
+
+    r = random.Random(2)
+    alphabet = ["a", "B", "é", "ß", "İ", "Σ", "\u0301", "5", ",", ".", "'s", "'", "-", " ", " ", "\n", "\t", "\u00a0", "\u2009", "😀", "中", "\0", "ok", "the", "H\u0331", "<|startoftext|>", "<|StartOfText|>"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(600)]
+    texts += ["", " ", "x " * 4000 + "yy", "q" * 9000 + " z" * 10, "don,t; a. b.. c., (d) e) it's,", "sixteenletterswo sixteenlettersworseventeen", "a" * 17, "a" * 16]
+    path = T.default_vocabulary()
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    for piece, cache in ((2_000_000, 400_000), (50, 60)):
+        monkeypatch.setattr(T, "PIECE", piece)
+        monkeypatch.setattr(T, "CACHE_WORDS", cache)
+        encode = T.Encoder(path)
+        for at in range(0, len(texts), 100):
+            got = [np.frombuffer(b, "<u4").tolist() for b in encode(texts[at : at + 100])]
+            assert got == want[at : at + 100]

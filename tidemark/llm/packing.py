@@ -30,7 +30,7 @@ from .tokens import default_vocabulary, encoder
 CAPACITY = 2048
 END_ID = 0
 #: Documents encoded at once; bounds the memory of a task besides its longest text.
-ENCODE_ROWS = 256
+ENCODE_ROWS = 512
 
 
 class CapacityTree:

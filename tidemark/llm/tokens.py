@@ -15,12 +15,17 @@ import numpy as np
 
 CACHE_WORDS = 300_000
 RUN_WORDS = 256
+#: Bytes of text whose words are looked up at once.
+PIECE = 2_000_000
 PUNCTUATION = string.punctuation.encode()
 #: Bytes by kind: 1 ASCII letters and digits, 2 ASCII punctuation, 3 ASCII white space, 0 others.
 KIND = np.zeros(256, np.uint8)
 KIND[[*string.ascii_letters.encode(), *string.digits.encode()]] = 1
 KIND[[*PUNCTUATION]] = 2
 KIND[[9, 10, 11, 12, 13, 32]] = 3
+#: Masks of the first n bytes of eight; odd multipliers.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0x632BE59BD9B4E019, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def default_vocabulary() -> str:
@@ -118,61 +123,125 @@ class Encoder:
         if not self.split:
             return [i.tobytes() for i in self._encode(texts)]
         distinct = dict.fromkeys(texts)
-        if len(distinct) < len(texts):
-            distinct = dict(zip(distinct, self(list(distinct)), strict=True))
-            return [distinct[t] for t in texts]
+        pieces: list[bytes] = []
+        counts = []
+        for text in distinct:
+            own = whole_word_pieces(self._lower(text.encode("utf-8")))
+            counts.append(len(own))
+            pieces += own
+        ids, at = [], 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= PIECE):
+                size += len(pieces[end])
+                end += 1
+            ids += self._pieces(pieces[at:end])
+            at = end
+        at = 0
+        for text, n in zip(distinct, counts, strict=True):
+            distinct[text] = ids[at] if n == 1 else b"".join(ids[at : at + n])
+            at += n
+        return [distinct[t] for t in texts]
+
+    def _lower(self, raw: bytes) -> bytes:
+        """raw in lower case if that surely changes no id: no combining marks, no added token comes up."""
+        if not self.plain or b"\xcc" in raw or b"\xcd" in raw:
+            return raw
+        low = raw.lower()
+        return raw if any(a in low for a in self.added) else low
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece: every distinct word is looked up once, its ids are copied to all its places."""
+        joined = b"\n".join(pieces)
+        if b"\0" in joined:  # words are told apart by zero-padded bytes below
+            return [b"".join(self._lookup(p.split())) for p in pieces]
+        raw = np.frombuffer(joined + b"\n" * 17, np.uint8)
+        kind = KIND[raw]
+        inside = kind != 3
+        opens = np.zeros(len(raw), bool)
+        opens[1:] = inside[1:] & ~inside[:-1]
+        opens[0] = inside[0]
+        if self.plain:  # one ASCII mark after an ASCII letter or digit is a pre-token, so a word of its own
+            opens[1:-1] |= (kind[:-2] == 1) & (kind[1:-1] == 2) & (kind[2:] == 3)
+        start = np.flatnonzero(opens)
+        end = np.flatnonzero(inside[:-1] & (opens | ~inside)[1:]) + 1
+        length = end - start
+        eight = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
+        low, high = eight[start] & FIRST[np.minimum(length, 8)], eight[np.minimum(start + 8, len(eight) - 1)] & FIRST[np.clip(length - 8, 0, 8)]
+        code = low * MIX[0] ^ (high + MIX[1]) * MIX[2]
+        long = np.flatnonzero(length > 16)
+        code[long] = [hash(joined[i:j]) & 0xFFFFFFFFFFFFFFFF for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+        words = [joined[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        same = first[group]
+        exact = (low == low[same]).all() and (high == high[same]).all() and (length == length[same]).all()
+        if not exact or any(joined[i:j] != words[g] for i, j, g in zip(start[long].tolist(), end[long].tolist(), group[long].tolist(), strict=True)):
+            return [b"".join(self._lookup(p.split())) for p in pieces]
+        found = self._lookup(words)
+        each = np.array([len(v) for v in found], np.int64) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = each[group]
+        upto = np.concatenate([[0], n.cumsum()])
+        ids = flat[np.repeat((each.cumsum() - each)[group] - upto[:-1], n) + np.arange(upto[-1])]
+        # words of a piece: those that start in it
+        bounds = np.cumsum([0] + [len(p) + 1 for p in pieces])
+        cuts = upto[np.searchsorted(start, bounds)].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS // 2:
             self.old, self.cache = self.cache, {}
-        words = [self._words(t.encode("utf-8")) for t in texts]
-        known = [list(map(self.cache.get, w)) for w in words]
-        gaps = [[i for i, v in enumerate(k) if v is None] if None in k else [] for k in known]
-        new = {w[i] for w, g in zip(words, gaps, strict=True) for i in g}
+        known = list(map(self.cache.get, words))
+        new = {w for w, v in zip(words, known, strict=True) if v is None}
         if new:
             self._extend(new)
-            for w, k, g in zip(words, known, gaps, strict=True):
-                for i in g:
-                    k[i] = self.cache[w[i]]
-        return [b"".join(k) for k in known]
-
-    def _words(self, raw: bytes) -> list[bytes]:
-        """Words of a text; one ASCII punctuation mark after an ASCII letter or digit is a word of its own, as it is a
-        pre-token of its own. In lower case if that surely changes no id: no combining marks, no added token comes up."""
-        if not self.plain:
-            return raw.split()
-        if b"\xcc" not in raw and b"\xcd" not in raw:
-            low = raw.lower()
-            raw = raw if any(a in low for a in self.added) else low
-        kind = KIND[np.frombuffer(raw, np.uint8)]
-        at = np.flatnonzero((kind[:-2] == 1) & (kind[1:-1] == 2) & (kind[2:] == 3)) + 1
-        if len(at):
-            wide = np.full(len(raw) + len(at), 32, np.uint8)
-            place = np.ones(len(wide), bool)
-            place[at + np.arange(len(at))] = False
-            wide[place] = np.frombuffer(raw, np.uint8)
-            raw = wide.tobytes()
-        return raw.split()
+            known = [self.cache[w] if v is None else v for w, v in zip(words, known, strict=True)]
+        return known
 
     def _extend(self, new: set[bytes]) -> None:
-        cache, whole, parts = self.cache, [], []
-        again = new & self.old.keys()
-        cache.update((w, self.old[w]) for w in again)
-        new -= again
-        need = [w for w in new if w.isalpha() and w.islower()]
-        for w in new.difference(need):
-            # letters with trailing ASCII punctuation are two pre-tokens, whatever their case
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() or not core:
-                parts.append((w, core.lower(), w[len(core) :]))
-            elif self.plain and not core.isascii() and (text := core.decode("utf-8")).isalpha() and max(text) <= "\xff":
-                parts.append((w, text.lower().encode("utf-8"), w[len(core) :]))
-            else:
-                whole.append(w)
+        cache, old, whole, parts, need = self.cache, self.old, [], [], set()
         cache[b""] = b""
-        need += {p for _, a, b in parts for p in (a, b)}.difference(need, cache.keys())
-        (self._learn_plain if self.plain else self._learn)(need)
+        for w in new:
+            if (ids := old.get(w)) is not None:
+                cache[w] = ids
+            elif w.isalpha() and w.islower():
+                need.add(w)
+            else:
+                # letters with trailing ASCII punctuation are two pre-tokens, whatever their case
+                core = w.rstrip(PUNCTUATION)
+                low = self._letters(core)
+                if low is None:
+                    whole.append(w)
+                else:
+                    parts.append((w, low, w[len(core) :]))
+        need.update(p for _, a, b in parts for p in (a, b) if p not in cache)
+        (self._learn_plain if self.plain else self._learn)(list(need))
         self._learn(whole)
         for w, a, b in parts:
-            cache[w] = cache[a] + cache[b]
+            cache[w] = cache[a] + cache[b] if b else cache[a]
+
+    def _letters(self, core: bytes) -> bytes | None:
+        """core in lower case if it is all letters whose lower case is sure."""
+        if core.isalpha() or not core:
+            return core.lower()
+        if self.plain and not core.isascii() and (text := core.decode("utf-8")).isalpha() and max(text) <= "\xff":
+            return text.lower().encode("utf-8")
+        return None
+
+
+def whole_word_pieces(raw: bytes) -> list[bytes]:
+    """raw cut after white space into pieces of at most about PIECE bytes; one piece at least."""
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        gaps = np.flatnonzero(KIND[np.frombuffer(raw, np.uint8, PIECE, at)] == 3)
+        if len(gaps):
+            end = at + int(gaps[-1]) + 1
+        else:
+            rest = np.flatnonzero(KIND[np.frombuffer(raw, np.uint8, offset=at)] == 3)
+            end = at + int(rest[0]) + 1 if len(rest) else len(raw)
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
 
 
 @lru_cache(maxsize=2)
