@@ -110,7 +110,7 @@ def test_reader_deals_requests_and_demo_reads_nothing(spark):
     requests = [[f"p{i}", f"/x{i}"] for i in range(7)]
     reader = rest.CandleReader({"base_url": "http://h", "requests": json.dumps(requests), "max_inflight": "3", "max_rps": "1000"}, Script(*[(200, b"[[1]]" if i else b"{}") for i in range(7)]))
     got = [r for p in reader.partitions() for r in reader.read(p)]
-    assert len(reader.partitions()) == 3 and sorted(k for k, _ in got) == [f"p{i}" for i in range(7)] and got[0][1] == "[]"
+    assert len(reader.partitions()) == 3 and sorted(r[0] for r in got) == [f"p{i}" for i in range(7)] and got[0][1] == "[]"
     spark.dataSource.register(rest.CandleSource)
     assert spark.read.format("tidemark_rest").option("demo", "true").option("requests", json.dumps(requests)).load().count() == 0
 

@@ -23,7 +23,8 @@ def forward_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     days = days.select(F.col(by).alias("_by"), F.col("_day").alias("_d"), later.alias("_later"), end.alias("_end"))
 
     both = l.unionByName(r, allowMissingColumns=True)
-    in_day = Window.partitionBy(by, "_day").orderBy("_ts", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_found", F.first("_v", ignorenulls=True).over(in_day)).where("_side = 0")
+    # in reverse order the frame only grows, so a day of n rows takes n steps
+    in_day = Window.partitionBy(by, "_day").orderBy(F.col("_ts").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_found", F.last("_v", ignorenulls=True).over(in_day)).where("_side = 0")
     joined = found.join(days, (F.col(by) == F.col("_by")) & (F.col("_day") == F.col("_d")), "left")
     return joined.withColumn(value, F.coalesce("_found", "_later", "_end")).drop("_ts", "_side", "_v", "_day", "_by", "_d", "_later", "_end", "_found")

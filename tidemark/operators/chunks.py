@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 8192
+CHUNK = 2048
 #: Rows of memory: windows reach back 72; the weight left of an average with factor 1/14 is 3e-21.
 HALO = 640
 
@@ -42,4 +42,6 @@ def with_chunks(rows: DataFrame, chunk: int = CHUNK, halo: int = HALO, ahead: in
         F.when((at < ahead) & (F.col("_own") > 0), F.array(F.col("_own") - 1)).otherwise(nobody) if ahead else nobody,
     )
     out = numbered(rows).withColumn("_own", own).withColumn("chunk", F.explode(lent))
-    return out.withColumn("core", F.col("chunk") == F.col("_own")).drop("_own")
+    out = out.withColumn("core", F.col("chunk") == F.col("_own")).drop("_own")
+    # a chunk costs CPU, not bytes: as many tasks as configured, which adaptive execution would merge by size
+    return out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "product_id", "chunk")

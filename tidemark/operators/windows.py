@@ -30,8 +30,9 @@ def median(c: str | Column) -> Column:
 
 
 def backfill(c: Column) -> Column:
-    """The first non-null value from the row on."""
-    return F.first(c, ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing))
+    """The first non-null value from the row on. A growing frame over the reverse order: each row is visited once."""
+    back = Window.partitionBy(*BY).orderBy(F.col("i").desc())
+    return F.last(c, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def slope(df: DataFrame, value: str, n: int, out: str) -> DataFrame:

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import scalar as S
-from ..operators.chunks import CHUNK, with_chunks
+from ..operators.chunks import CHUNK, HALO, with_chunks
 from ..operators.windows import backfill, ewm, lag, median, rolling, series, slope
 from ..schemas import FEATURES
 from ..sources.candles import completed, keep_last
 
 
+#: Rows that the latest row depends on: the longest window on top of the averages' memory.
+REACH = HALO + 72
+
+
 def scrub(x: Column, default: float = 0.0) -> Column:
     bad = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     return F.coalesce(F.when(~bad, x), F.lit(default))
@@ -143,6 +147,25 @@ def with_benchmark(features: DataFrame, bench: DataFrame) -> DataFrame:
     return joined.withColumn("bench_ret_30m", F.coalesce("bench_ret_30m", F.lit(0.0))).drop("_b")
 
 
+def with_one_benchmark(features: DataFrame, bench: DataFrame) -> DataFrame:
+    """bench_ret_30m of the benchmark's latest row for all rows; 0 if it has none."""
+    one = bench.agg(F.coalesce(F.max_by("ret_30m", "ts_end"), F.lit(0.0)).alias("bench_ret_30m"))
+    return features.drop("bench_ret_30m").crossJoin(F.broadcast(one))  # one row
+
+
+def latest_features(candles: DataFrame, cfg: Settings, as_of: Column, **more) -> DataFrame:
+    """last_bars of the indicators, from the last days of each product that hold the rows its windows reach.
+
+    Counts per day say where those days begin, so no window runs over a whole history."""
+    bars = completed(keep_last(candles), as_of).withColumn("_day", F.to_date("ts_start"))
+    per_day = bars.groupBy("product_id", "_day").agg(F.count(F.lit(1)).alias("n"))
+    after = F.sum("n").over(Window.partitionBy("product_id").orderBy(F.col("_day").desc())) - F.col("n")
+    cut = per_day.withColumn("after", after).groupBy(F.col("product_id").alias("_p")).agg(F.min(F.when(F.col("after") < REACH, F.col("_day"))).alias("_from"), F.sum("n").alias("n_bars"))
+    recent = bars.join(cut, (F.col("product_id") == F.col("_p")) & (F.col("_day") >= F.col("_from"))).select(*candles.columns)
+    last = last_bars(indicators(recent, cfg, as_of, **more)).drop("n_bars")
+    return last.join(cut.select("_p", "n_bars"), F.col("product_id") == F.col("_p")).drop("_p")
+
+
 def last_bars(features: DataFrame) -> DataFrame:
     """The latest row per product, by partial aggregates rather than a sort."""
     rest = [c for c in features.columns if c != "product_id"]

@@ -9,6 +9,9 @@ from ..config import Settings
 from ..functions import scalar as S
 from .features import last_bars
 
+#: Reasons of products whose candles could not be fetched.
+FAILED = ("rate_limited", "other_errors")
+
 
 def liquidity_risk(df: DataFrame, cfg: Settings) -> DataFrame:
     """risk (OK, CAUTION, HIGH) and its comma-joined reasons."""
@@ -38,11 +41,12 @@ def heuristic(df: DataFrame) -> DataFrame:
     return df.withColumns({"prob_1": S.clip(S.sigmoid(0.7 * s - 0.9), 0.01, 0.90), "prob_2": S.clip(S.sigmoid(0.6 * s - 1.6), 0.005, 0.75)})
 
 
-def scan_status(products: DataFrame, features: DataFrame, cfg: Settings, scan_time: Column, candles: DataFrame | None = None) -> DataFrame:
+def scan_status(products: DataFrame, features: DataFrame, cfg: Settings, scan_time: Column, candles: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
     """products with their latest feature row and status; the first matching reason wins.
 
-    A product counts as returned if it has candles at all, even if none is complete."""
-    last = last_bars(features).withColumnRenamed("product_id", "_pid")
+    A product counts as returned if it has candles at all, even if none is complete. features: all rows, or
+    the latest ones with n_bars. failures (product_id, error): what a reader could not fetch comes first."""
+    last = (features if "n_bars" in features.columns else last_bars(features)).withColumnRenamed("product_id", "_pid")
     df = products.join(last, F.col("id") == F.col("_pid"), "left")
     if candles is None:
         returned = F.col("_pid").isNotNull()
@@ -51,14 +55,22 @@ def scan_status(products: DataFrame, features: DataFrame, cfg: Settings, scan_ti
         df = df.join(have, F.col("id") == F.col("_have"), "left")
         returned = F.col("_have").isNotNull()
     stale = S.minutes_between(F.col("ts_end"), scan_time) > cfg.max_candle_staleness_minutes
+    if failures is None:
+        df = df.withColumn("_error", F.lit(None).cast("string"))
+    else:
+        errors = failures.where("error IS NOT NULL").groupBy(F.col("product_id").alias("_failed")).agg(F.min("error").alias("_error"))
+        df = df.join(errors, F.col("id") == F.col("_failed"), "left").drop("_failed")
+    kind = F.when(F.contains("_error", F.lit("http_429")), FAILED[0]).otherwise(FAILED[1])
     status = (
-        F.when(~returned, "no_candles")
+        F.when(F.col("_error").isNotNull(), kind)
+        .when(~returned, "no_candles")
         .when(F.coalesce("n_bars", F.lit(0)) < cfg.min_bars_5m, "insufficient_candles")
         .when(stale, "stale_candles")
         .when((F.col("price") <= 0) | (F.col("vwap") <= 0), "missing_price_or_vwap")
         .otherwise("scored")
     )
-    return df.withColumn("scan_status", status).drop("_pid", "_have")
+    detail = F.when(F.col("_error").isNotNull(), F.concat(kind, F.lit(":"), F.substring_index("_error", ":", 1)))
+    return df.withColumns({"scan_status": status, "skip_detail": F.coalesce(detail, status)}).drop("_pid", "_have", "_error")
 
 
 def score_rows(scanned: DataFrame, cfg: Settings, source: str = "heuristic") -> DataFrame:
@@ -102,25 +114,29 @@ def top_candle_time(scores: DataFrame) -> DataFrame:
 
 def skipped(scanned: DataFrame) -> DataFrame:
     """(product, reason, last_candle) of every product that was not scored."""
-    return scanned.where("scan_status <> 'scored'").select(F.col("id").alias("product"), F.col("scan_status").alias("reason"), F.when(F.col("scan_status") != "no_candles", S.iso_utc(F.col("ts_end"))).alias("last_candle"))
+    known = ~F.col("scan_status").isin("no_candles", *FAILED)
+    return scanned.where("scan_status <> 'scored'").select(F.col("id").alias("product"), F.col("skip_detail").alias("reason"), F.when(known, S.iso_utc(F.col("ts_end"))).alias("last_candle"))
 
 
 def skip_histogram(scanned: DataFrame) -> DataFrame:
     return scanned.where("scan_status <> 'scored'").groupBy(F.col("scan_status").alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "reason")
 
 
-def coverage(scanned: DataFrame) -> DataFrame:
-    """One row of counts along the funnel, in one pass, and the skip reasons as a map."""
+def coverage(scanned: DataFrame, *, mismatch: bool = False) -> DataFrame:
+    """One row of counts along the funnel, in one pass, and the skip reasons as a map.
+
+    mismatch: models were there but did not fit, which counts for every product scored without them."""
     s = F.col("scan_status")
-    one = scanned.groupBy(s).agg(F.count(F.lit(1)).alias("n"))  # at most five rows from here on
+    one = scanned.groupBy(s).agg(F.count(F.lit(1)).alias("n"))  # at most seven rows from here on
+    reason = F.when(s != "scored", s).when(F.lit(mismatch), "model_schema_incompatible")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     return one.agg(
         total(F.lit(True)).alias("universe_count"),
         total(F.lit(True)).alias("products_requested_count"),
-        total(s != "no_candles").alias("products_returned_with_candles_count"),
-        total(~s.isin("no_candles", "insufficient_candles")).alias("products_with_sufficient_candles_count"),
+        total(~s.isin("no_candles", *FAILED)).alias("products_returned_with_candles_count"),
+        total(~s.isin("no_candles", "insufficient_candles", *FAILED)).alias("products_with_sufficient_candles_count"),
         total(s == "scored").alias("products_scored_count"),
-        F.map_from_entries(F.collect_list(F.when(s != "scored", F.struct(s, "n")))).alias("top_skip_reasons"),
+        F.map_from_entries(F.collect_list(F.when(reason.isNotNull(), F.struct(reason, "n")))).alias("top_skip_reasons"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.scalar import bucket4, clip, logit
 from ..schemas import FEATURES, SCHEMA_VERSION
+from ..sources.tables import written
 from .features import benchmark_returns, indicators, with_benchmark
 from .labels import labels
 
@@ -19,6 +20,7 @@ from .labels import labels
 MAX_ITERATIONS = 4000
 SPLINED = ("time_remaining_frac", "rvol_tod", "vwap_loc", "donch_dist")
 KNOTS, DEGREE = 5, 3
+SCORE_RANGES = 4096
 
 
 def training_matrix(candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings, as_of: Column) -> DataFrame:
@@ -26,7 +28,8 @@ def training_matrix(candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings,
 
     Products without candles of either width, or with fewer than max(30, min_bars) rows, are left out."""
     least = max(30, cfg.min_bars_5m)
-    feats = indicators(candles_5m, cfg, as_of)
+    # both are read by several branches
+    feats, candles_1m = written(indicators(candles_5m, cfg, as_of), "features"), written(candles_1m, "minutes")
     feats = with_benchmark(feats, benchmark_returns(feats, cfg.benchmark_symbol))
     have = candles_1m.select("product_id").distinct()
     counts = feats.groupBy("product_id").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
@@ -38,6 +41,7 @@ def time_split(matrix: DataFrame, by: tuple[str, ...] = ("product_id",)) -> Data
     """Adds pos (global position by time, ties by product) and split (train, cal, val: 60/20/20).
 
     Positions come from counts per bar time: only distinct bar times are ever in one task."""
+    matrix = written(matrix, "matrix")
     per_ts = matrix.groupBy("ts_end").agg(F.count(F.lit(1)).alias("n"))
     every = Window.orderBy("ts_end")
     cum = per_ts.select(F.col("ts_end").alias("_ts"), (F.sum("n").over(every) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_n"))
@@ -56,10 +60,16 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Area under the curve by counts per distinct score; null with one class only."""
-    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    won = per.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0.0)) + F.col("neg") / 2))
+    """Area under the curve by counts per distinct score; null with one class only.
+
+    Scores fall into SCORE_RANGES ranges of [0, 1]; only the ranges' counts meet in one task."""
+    range_ = F.floor(clip(F.col("p"), 0.0, 1.0) * SCORE_RANGES)
+    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg")).withColumn("range", range_)
+    first = per.groupBy("range").agg(F.sum("neg").alias("n"))
+    first = first.select(F.col("range").alias("_r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("_before"))
+    below = F.sum("neg").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    won = per.withColumn("below", F.coalesce(below, F.lit(0.0))).join(first, F.col("range") == F.col("_r"))
+    won = won.withColumn("won", F.col("pos") * (F.col("_before") + F.col("below") + F.col("neg") / 2))
     return won.agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -107,10 +117,12 @@ class Calibrator:
         if self.kind == "platt":
             return 1 / (1 + F.exp(-(self.slope * logit(p) + self.shift)))
         if self.kind == "isotonic":
-            out = F.lit(self.y[0])
-            for a, b, ya, yb in zip(self.x, self.x[1:], self.y, self.y[1:], strict=False):
-                out = F.when(p >= a, (ya + (p - a) * ((yb - ya) / (b - a))) if b > a else F.lit(yb)).otherwise(out)
-            return F.when(p >= self.x[-1], F.lit(self.y[-1])).otherwise(out)
+            # the last knot at or below p, by halving steps: the expression does not grow with the knots
+            xs, ys, n = F.lit(self.x), F.lit(self.y), len(self.x)
+            steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+            at = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s < n) & (F.get(xs, i + s) <= p), i + s).otherwise(i))
+            line = lambda i: F.get(ys, i) + F.coalesce(F.try_divide((p - F.get(xs, i)) * (F.get(ys, i + 1) - F.get(ys, i)), F.get(xs, i + 1) - F.get(xs, i)), F.lit(0.0))
+            return F.when(p <= self.x[0], F.lit(self.y[0])).when(p >= self.x[-1], F.lit(self.y[-1])).otherwise(F.transform(F.array(at), line)[0])
         return p
 
 
@@ -311,17 +323,40 @@ def predict(bundle: Bundle, features: DataFrame, out: str = "prob") -> DataFrame
     return raw.withColumn(out, p).drop("p_raw")
 
 
-def train(candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings, as_of: Column) -> tuple[dict[str, Bundle], dict]:
-    """Bundles for y1 and y2 and the report: products, rows, metrics."""
-    split = time_split(training_matrix(candles_5m, candles_1m, cfg, as_of)).persist()
-    try:
-        sizes = split.agg(F.count_distinct("product_id").alias("products"), F.count(F.lit(1)).alias("rows")).first()
-        if not sizes["rows"]:
-            raise ValueError("no_training_rows")
-        bundles = {y: fit_target(split, y, cfg) for y in ("y1", "y2")}
-    finally:
-        split.unpersist()
-    return bundles, {"products": sizes["products"], "rows": sizes["rows"], "metrics": {y: b.metrics for y, b in bundles.items()}}
+def training_window(candles: DataFrame, cfg: Settings, as_of: Column, *, auto: bool = False) -> DataFrame:
+    """Candles of the lookback and two days more."""
+    days = cfg.auto_train_lookback_days if auto else cfg.train_lookback_days
+    return candles.where(F.col("ts_start") >= as_of - F.expr(f"INTERVAL {days + 2} DAYS"))
+
+
+def training_products(products: DataFrame, cfg: Settings, *, auto: bool = False) -> DataFrame:
+    """(product_id) of the products to train on: the first in universe order (rank, if there is one, then id), or all
+    without a positive limit."""
+    most = cfg.auto_train_max_products if auto else cfg.train_max_products
+    ids = products.orderBy("rank", "id") if "rank" in products.columns else products.orderBy("id")
+    return (ids.limit(most) if most > 0 else ids).select(F.col("id").alias("product_id")).distinct()
+
+
+def train(candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings, as_of: Column, *, products: DataFrame | None = None, auto: bool = False) -> tuple[dict[str, Bundle], dict]:
+    """Bundles for y1 and y2 and the report: products, rows, metrics, and the table per_product of candle counts."""
+    if products is not None and not products.head(1):
+        raise ValueError("no_products_to_train")
+    own = [training_window(c, cfg, as_of, auto=auto) for c in (candles_5m, candles_1m)]
+    if products is not None:  # the benchmark's candles are needed for its returns, whether it is trained on or not
+        ids = written(training_products(products, cfg, auto=auto), "products")
+        bench = products.sparkSession.range(1).select(F.lit(cfg.benchmark_symbol).alias("product_id"))
+        own = [c.join(ids.unionByName(bench).distinct(), "product_id", "left_semi") for c in own]
+    own = [written(c, "candles") for c in own]
+    matrix = training_matrix(*own, cfg, as_of)
+    if products is not None:
+        matrix, own = matrix.join(ids, "product_id", "left_semi"), [c.join(ids, "product_id", "left_semi") for c in own]
+    split = written(time_split(matrix), "split")
+    sizes = split.agg(F.count_distinct("product_id").alias("products"), F.count(F.lit(1)).alias("rows")).first()
+    if not sizes["rows"]:
+        raise ValueError("no_training_rows")
+    bundles = {y: fit_target(split, y, cfg) for y in ("y1", "y2")}
+    report = {"products": sizes["products"], "rows": sizes["rows"], "metrics": {y: b.metrics for y, b in bundles.items()}}
+    return bundles, report | {"per_product": candle_counts(own[0].unionByName(own[1]))}
 
 
 def should_auto_train(cfg: Settings, *, allowed: bool, models_present: bool, minutes_since_last: float | None) -> bool:

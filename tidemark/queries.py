@@ -6,18 +6,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import scalar as S
 from .plans import features as P
 from .plans import labels as L
+from .plans import scan as N
 from .plans import scoring as R
 from .plans import training as T
 from .plans import universe as U
 from .schemas import FEATURES
 from .sources import candles as C
+from .sources.tables import shared_folder, written
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 FIXTURE = Settings(liq_dvol_min_usd=5000.0, benchmark_symbol="view")
@@ -359,10 +361,18 @@ def _universe(spark, sf):
     return U.live_universe(U.catalog_from_parts(spark, sf), _CFG).select("p_partkey", "id", "base", "quote", "status")
 
 
-@query("universe_rank_limit", f"WITH {SQL_UNIVERSE} SELECT p_partkey, id, base, quote, status FROM u ORDER BY id, base, p_partkey, quote, status LIMIT 25")
+@query("universe_rank_limit", f"""WITH {SQL_UNIVERSE},
+pl(rank, r_regionkey, id) AS (VALUES (1, 3, 'ETH-USD'), (43, 0, 'DOGE-USDC'), (0, 4, 'BTC-USD'), (29, 1, 'BTC-USDT'), (1000000, 2, 'ZZZ-USD')),
+x AS (SELECT p_partkey, id, base, quote, status, 1000000 AS rank FROM u
+  UNION ALL SELECT -r_regionkey, id, split_part(id, '-', 1), split_part(id, '-', 2), 'online', rank FROM pl JOIN region USING (r_regionkey))
+SELECT p_partkey, id, base, quote, status, CAST(rank AS INTEGER) AS rank FROM x ORDER BY rank, id, base, p_partkey, quote, status LIMIT 25""")
 def _universe_rank(spark, sf):
-    live = U.live_universe(U.catalog_from_parts(spark, sf), _CFG).orderBy("rank", "id", "base", "p_partkey", "quote", "status").limit(25)
-    return live.select("p_partkey", "id", "base", "quote", "status")
+    """The parts' catalog with products of the priority list, one for each region."""
+    ids = F.array(*map(F.lit, ("DOGE-USDC", "BTC-USDT", "ZZZ-USD", "ETH-USD", "BTC-USD")))
+    r = spark.read.parquet(f"{sf}/region.parquet").select((-F.col("r_regionkey")).alias("p_partkey"), F.get(ids, F.col("r_regionkey").cast("int")).alias("id"))
+    more = r.select("p_partkey", "id", F.substring_index("id", "-", 1).alias("base_currency"), F.substring_index("id", "-", -1).alias("quote_currency"), F.lit("online").alias("status"))
+    live = U.live_universe(U.catalog_from_parts(spark, sf).unionByName(more), _CFG).orderBy("rank", "id", "base", "p_partkey", "quote", "status").limit(25)
+    return live.select("p_partkey", "id", "base", "quote", "status", "rank")
 
 
 @query("quote_distribution", f"WITH {SQL_UNIVERSE} SELECT quote, count(*) AS n FROM u GROUP BY 1")
@@ -420,7 +430,7 @@ def _scan_parts(spark, sf):
     c = c.where(cut)
     products = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("none").alias("id")))
     products = products.select("id", F.lit("USD").alias("quote"), F.lit("online").alias("status"))
-    return products, P.indicators(c, SCAN, ntz(AS_OF_TEXT)), c
+    return products, P.latest_features(c, SCAN, ntz(AS_OF_TEXT)), c
 
 
 def _scanned(spark, sf):
@@ -493,6 +503,38 @@ def _quote_list(spark, sf):
     return R.quotes(R.score_rows(_scanned(spark, sf), SCAN))
 
 
+def _scan_inputs(spark, sf):
+    """Products by event type, one of which could not be fetched, and one without candles."""
+    products = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("none").alias("id")))
+    failures = spark.range(1).select(F.lit("error").alias("product_id"), F.lit("RuntimeError: http_429").alias("error"))
+    return products.select("id", F.lit("USD").alias("quote"), F.lit("online").alias("status")), failures
+
+
+_SINCE = f"ts_start >= TIMESTAMP '{AS_OF_TEXT}' - INTERVAL 48 HOURS"
+SQL_LIVE = (
+    sql_features("live").replace("FROM c5 WHERE ts_start + INTERVAL 5 MINUTES <= TIMESTAMP '2024-01-31 00:00:00'),\nk1", f"FROM c5 WHERE ts_start + INTERVAL 5 MINUTES <= TIMESTAMP '2024-01-31 00:00:00' AND {_SINCE}),\nk1", 1)
+    + f""",
+b0 AS (SELECT ts_start, coalesce(close / lag(close, 6) OVER (ORDER BY ts_start) - 1, 0) AS r FROM c5 WHERE product_id = 'view' AND ts_start >= TIMESTAMP '{AS_OF_TEXT}' - INTERVAL 12 HOURS),
+lb AS (SELECT f.* EXCLUDE (bench_ret_30m), n_bars, coalesce((SELECT arg_max(r, ts_start) FROM b0), 0) AS bench_ret_30m FROM f JOIN (SELECT product_id, max(ts_end) AS ts_end, count(*) AS n_bars FROM f GROUP BY 1) z USING (product_id, ts_end)),
+pr AS (SELECT DISTINCT event_type AS id FROM events UNION ALL SELECT 'none'),
+sc AS (SELECT pr.id, lb.*, CASE WHEN id = 'error' THEN 'rate_limited' WHEN lb.product_id IS NULL AND id NOT IN (SELECT DISTINCT product_id FROM c5 WHERE {_SINCE}) THEN 'no_candles' WHEN coalesce(n_bars, 0) < 7 THEN 'insufficient_candles'
+  WHEN epoch(TIMESTAMP '{AS_OF_TEXT}') - epoch(ts_end) > 86400 THEN 'stale_candles' WHEN price <= 0 OR vwap <= 0 THEN 'missing_price_or_vwap' ELSE 'scored' END AS scan_status FROM pr LEFT JOIN lb ON pr.id = lb.product_id)"""
+)
+
+
+@query("scan_live", f"WITH {SQL_LIVE}, " + SQL_ROWS.split(f"WITH {SQL_SCAN}, ", 1)[1] + """
+SELECT o.*, CASE WHEN product IS NOT NULL THEN rank() OVER (ORDER BY coalesce(prob_2, -1) DESC, coalesce(prob_1, -1) DESC, product) END AS place, scan_status, coalesce(n_bars, 0) AS n_bars, round(bench_ret_30m, 6) + 0.0 AS bench_ret_30m,
+  CASE WHEN scan_status = 'rate_limited' THEN 'rate_limited:RuntimeError' ELSE scan_status END AS skip_detail FROM sc LEFT JOIN o ON o.product = sc.id""")
+def _scan_live(spark, sf):
+    """The whole scan with lookback, live profile, benchmark and a failed product: every product with its score row."""
+    products, failed = _scan_inputs(spark, sf)
+    got = N.scan(products, candles(spark, sf, 300), SCAN, ntz(AS_OF_TEXT), profile=_bars_profile(spark, sf, SCAN), failures=failed)
+    place = F.row_number().over(Window.orderBy(F.coalesce("prob_2", F.lit(-1.0)).desc(), F.coalesce("prob_1", F.lit(-1.0)).desc(), "product")).cast("long")  # a row for each product
+    more = got.scanned.select("id", "scan_status", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), "bench_ret_30m", "skip_detail")
+    rows = show(got.scores).withColumn("place", place)
+    return show(more.join(rows, F.col("id") == F.col("product"), "left").drop("id"))
+
+
 # ---- training ------------------------------------------------------------------------------
 
 SQL_MATRIX = f"""{sql_features()}, {SQL_LABELS},
@@ -577,7 +619,7 @@ def _spline(spark, sf):
 @query("lr_probs", None)
 def _lr(spark, sf):
     """Model probabilities of both targets for the validation rows after training on the rows before."""
-    split = T.time_split(_matrix(spark, sf)).persist()
+    split = written(T.time_split(_matrix(spark, sf)), "split")
     out = split.where("split = 'val'")
     for y, prob in (("y1", "prob_1"), ("y2", "prob_2")):
         out = T.predict(T.fit_target(split, y, FIXTURE), out, prob)
@@ -587,7 +629,6 @@ def _lr(spark, sf):
 @query("stream_equals_batch", None)
 def _stream(spark, sf):
     """Indicators of a stream of bar files beside the batch result: largest difference per product."""
-    import tempfile
     import uuid
 
     from .operators.chunks import with_chunks
@@ -595,8 +636,7 @@ def _stream(spark, sf):
     from .schemas import CANDLES
     from .streaming.indicators import running_indicators
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    root = f"{shared}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     bars = C.completed(candles(spark, sf, 300), ntz(AS_OF_TEXT))
     for k, (a, b) in enumerate((("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-21"), ("2024-01-21", "2024-02-01"))):
         part = bars.where((F.col("ts_start") >= ntz(f"{a} 00:00:00")) & (F.col("ts_start") < ntz(f"{b} 00:00:00"))).drop("ts_end")

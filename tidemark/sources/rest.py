@@ -11,6 +11,8 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Statuses that are worth another try, tries, and delays in seconds.
@@ -111,15 +113,22 @@ class CandleReader(DataSourceReader):
         n = min(self.workers, max(1, len(self.requests)))
         return [Requests(self.requests[k::n]) for k in range(n)]
 
-    def read(self, partition: Requests) -> Iterator[tuple[str, str]]:
-        """(key, payload): a payload that is no list becomes an empty list."""
+    def read(self, partition: Requests) -> Iterator[tuple[str, str | None, str | None, int]]:
+        """(key, payload, error, backoffs): a payload that is no list becomes an empty list; a request that fails for good
+        has no payload but the error, so it costs its own rows and not the job."""
         if self.demo:
             return
         share = min(self.workers, max(1, len(self.requests)))
-        bucket, health = TokenBucket(self.rate / share), Health()
+        bucket = TokenBucket(self.rate / share)
         for key, path in partition.requests:
-            got = fetch(self.base + path, self.transport, bucket, health)
-            yield key, json.dumps(got if isinstance(got, list) else [])
+            health, waits = Health(), []
+            sleep = lambda s, w=waits: (w.append(s), time.sleep(s))
+            try:
+                got = fetch(self.base + path, self.transport, bucket, health, sleep)
+            except (RuntimeError, ValueError) as e:
+                yield key, None, f"{type(e).__name__}: {e}", len(waits)
+            else:
+                yield key, json.dumps(got if isinstance(got, list) else []), None, len(waits)
 
 
 class CandleSource(DataSource):
@@ -131,11 +140,32 @@ class CandleSource(DataSource):
         return "tidemark_rest"
 
     def schema(self) -> str:
-        return "key string, payload string"
+        return "key string, payload string, error string, backoffs int"
 
     def reader(self, schema) -> CandleReader:
         return CandleReader(dict(self.options))
 
 
+def failures(pages: DataFrame) -> DataFrame:
+    """(product_id, error) of the requests that failed, keyed by product."""
+    return pages.where("error IS NOT NULL").select(F.col("key").alias("product_id"), "error")
+
+
+def health(pages: DataFrame, *, demo: bool = False) -> DataFrame:
+    """One row about a read: requests, errors, rate limits, backoffs and the status (OK, WARN, DEMO_MODE)."""
+    counts = pages.agg(F.count(F.lit(1)).alias("requests"), F.count("error").alias("errors"), F.count_if(F.contains("error", F.lit("http_429"))).alias("rate_limited"), F.coalesce(F.sum("backoffs"), F.lit(0)).alias("backoffs"))
+    return counts.withColumn("status", F.lit("DEMO_MODE") if demo else F.when(F.col("errors") > 0, "WARN").otherwise("OK"))
+
+
+#: The product catalog's path.
+CATALOG_PATH = "/products"
+
+
+def parse_catalog(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """(id, base_currency, quote_currency, status) from pages of JSON arrays of objects; anything else gives no rows."""
+    rows = pages.select(F.explode(F.from_json(payload, "array<struct<id: string, base_currency: string, quote_currency: string, status: string>>")).alias("r"))
+    return rows.select("r.*").where("id IS NOT NULL")
+
+
 def candle_path(product: str, granularity: int, start: str, end: str) -> str:
     return f"/products/{product}/candles?granularity={granularity}&start={start}&end={end}"

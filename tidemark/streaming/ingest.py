@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,8 +31,8 @@ def merge(spark: SparkSession, fresh: DataFrame, path: str, staging: str) -> Non
         stored = spark.read.schema(f"{CANDLES}, day DATE").parquet(path)
         touched = fresh.select(*PARTS).distinct()
         both = fresh.unionByName(stored.join(F.broadcast(touched), PARTS, "left_semi"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         both = fresh
     keep_last(both).write.mode("overwrite").parquet(staging)
