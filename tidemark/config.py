@@ -20,6 +20,7 @@ def parse_flag(text: str | None, default: bool) -> bool:
 
 @dataclass(frozen=True)
 class Settings:
+    # fixed values: the defaults of all settings
     horizon_minutes: int = 240
     horizon_mode: str = "FIXED"
     scan_interval_minutes: int = 30

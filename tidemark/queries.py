@@ -523,7 +523,7 @@ sc AS (SELECT pr.id, lb.*, CASE WHEN id = 'error' THEN 'rate_limited' WHEN lb.pr
 
 
 @query("scan_live", f"WITH {SQL_LIVE}, " + SQL_ROWS.split(f"WITH {SQL_SCAN}, ", 1)[1] + """
-SELECT o.*, CASE WHEN product IS NOT NULL THEN rank() OVER (ORDER BY coalesce(prob_2, -1) DESC, coalesce(prob_1, -1) DESC, product) END AS place, scan_status, coalesce(n_bars, 0) AS n_bars, round(bench_ret_30m, 6) + 0.0 AS bench_ret_30m,
+SELECT o.*, CASE WHEN product IS NOT NULL THEN rank() OVER (ORDER BY coalesce(prob_2, -1) DESC, coalesce(prob_1, -1) DESC, product) ELSE 0 END AS place, scan_status, coalesce(n_bars, 0) AS n_bars, round(bench_ret_30m, 6) + 0.0 AS bench_ret_30m,
   CASE WHEN scan_status = 'rate_limited' THEN 'rate_limited:RuntimeError' ELSE scan_status END AS skip_detail FROM sc LEFT JOIN o ON o.product = sc.id""")
 def _scan_live(spark, sf):
     """The whole scan with lookback, live profile, benchmark and a failed product: every product with its score row."""
@@ -532,7 +532,7 @@ def _scan_live(spark, sf):
     place = F.row_number().over(Window.orderBy(F.coalesce("prob_2", F.lit(-1.0)).desc(), F.coalesce("prob_1", F.lit(-1.0)).desc(), "product")).cast("long")  # a row for each product
     more = got.scanned.select("id", "scan_status", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), "bench_ret_30m", "skip_detail")
     rows = show(got.scores).withColumn("place", place)
-    return show(more.join(rows, F.col("id") == F.col("product"), "left").drop("id"))
+    return show(more.join(rows, F.col("id") == F.col("product"), "left").drop("id").withColumn("place", F.coalesce("place", F.lit(0).cast("long"))))
 
 
 # ---- training ------------------------------------------------------------------------------
