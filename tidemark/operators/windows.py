@@ -43,31 +43,38 @@ def slope(df: DataFrame, value: str, n: int, out: str) -> DataFrame:
 
 
 def ewm(df: DataFrame, inputs: dict[str, str], a: float) -> DataFrame:
-    """Non-adjusted exponentially weighted means y = (1 - a) y + a x with y0 = x0.
-
-    inputs: value column -> output column; values must not be null. Rows are cut into blocks of
-    128. In a block, the weighted sum is a scaled cumulative sum; a block's end value carries into
-    the next ones with weight q**128, of which only few blocks matter. All of it is windows over
-    the same partitioning: no shuffle, no join."""
-    q = 1 - a
-    far = q**BLOCK
-    reach = max(1, math.ceil(math.log(1e-18) / math.log(far))) if far > 0 else 1
-    at, offset = F.floor(F.col("i") / BLOCK), F.col("i") % BLOCK
-    in_block = Window.partitionBy(*BY, "_block").orderBy("i")
-    df = df.withColumn("_block", at)
-    first = F.row_number().over(series()) == 1
-    df = df.withColumn("_first", first)
-    own = {out: F.pow(F.lit(q), offset) * F.sum(F.when(F.col("_first"), F.col(x)).otherwise(a * F.col(x)) * F.pow(F.lit(q), -offset)).over(in_block) for x, out in inputs.items()}
+    """Exponentially weighted means of one factor; inputs: value column -> output column."""
+    return ewms(df, [(x, out, a) for x, out in inputs.items()])
+
+
+def ewms(df: DataFrame, means: list[tuple[str, str, float]]) -> DataFrame:
+    """Non-adjusted exponentially weighted means y = (1 - a) y + a x with y0 = x0, as (value, output, a).
+
+    Values must not be null. Rows are cut into blocks of 128. In a block, the weighted sum is a scaled
+    cumulative sum; a block's end value carries into the next ones with weight q**128, of which only
+    few blocks matter. All of it is windows over the same partitioning: no shuffle, no join; all means
+    share the windows."""
+    offset = F.col("i") % BLOCK
+    in_block = Window.partitionBy(*BY, "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_block": F.floor(F.col("i") / BLOCK), "_first": F.row_number().over(series()) == 1})
+    reach, own = {}, {}
+    for x, out, a in means:
+        q = 1 - a
+        far = q**BLOCK
+        reach[out] = max(1, math.ceil(math.log(1e-18) / math.log(far))) if far > 0 else 1
+        own[out] = F.pow(F.lit(q), offset) * F.sum(F.when(F.col("_first"), F.col(x)).otherwise(a * F.col(x)) * F.pow(F.lit(q), -offset)).over(in_block)
     df = df.withColumns(own)
     # the end values of the 1, 2, ... blocks before, looked up row by row
     past = series().rowsBetween(Window.unboundedPreceding, -1)
     ends = offset == BLOCK - 1
-    for k in range(1, reach + 1):
-        source = {out: F.col(out) if k == 1 else F.col(f"_{k - 1}_{out}") for out in inputs.values()}
+    carried = []
+    for k in range(1, max(reach.values()) + 1):
+        source = {out: F.col(out) if k == 1 else F.col(f"_{k - 1}_{out}") for out in own if reach[out] >= k}
         df = df.withColumns({f"_{k}_{out}": F.last(F.when(ends, c), ignorenulls=True).over(past) for out, c in source.items()})
+        carried += [f"_{k}_{out}" for out in source]
     total = {}
-    for out in inputs.values():
-        carry = sum((F.coalesce(f"_{k}_{out}", F.lit(0.0)) * F.lit(far ** (k - 1)) for k in range(1, reach + 1)), F.lit(0.0))
+    for _, out, a in means:
+        q = 1 - a
+        carry = sum((F.coalesce(f"_{k}_{out}", F.lit(0.0)) * F.lit(q ** (BLOCK * (k - 1))) for k in range(1, reach[out] + 1)), F.lit(0.0))
         total[out] = F.col(out) + carry * F.pow(F.lit(q), offset + 1)
-    df = df.withColumns(total)
-    return df.drop("_block", "_first", *[f"_{k}_{out}" for k in range(1, reach + 1) for out in inputs.values()])
+    return df.withColumns(total).drop("_block", "_first", *carried)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import scalar as S
 from ..operators.chunks import CHUNK, HALO, with_chunks
-from ..operators.windows import backfill, ewm, lag, median, rolling, series, slope
+from ..operators.windows import backfill, ewm, ewms, lag, median, rolling, series, slope
 from ..schemas import FEATURES
 from ..sources.candles import completed, keep_last
 
@@ -31,9 +31,9 @@ def directional(df: DataFrame) -> DataFrame:
     return df.withColumns({"plus_dm": move("_up", "_down"), "minus_dm": move("_down", "_up")}).drop("_up", "_down")
 
 
-def trend(df: DataFrame, period: int = 14) -> DataFrame:
-    """Average true range and directional index."""
-    df = ewm(directional(df), {"tr": "atr", "plus_dm": "_pdm", "minus_dm": "_mdm"}, 1 / period)
+def trend(df: DataFrame, period: int = 14, more: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
+    """Average true range and directional index; more: other means that share the first pass."""
+    df = ewms(directional(df), [("tr", "atr", 1 / period), ("plus_dm", "_pdm", 1 / period), ("minus_dm", "_mdm", 1 / period), *more])
     df = df.withColumns({"_pdi": 100 * S.ratio(F.col("_pdm"), F.col("atr")), "_mdi": 100 * S.ratio(F.col("_mdm"), F.col("atr"))})
     dx = 100 * F.abs(F.col("_pdi") - F.col("_mdi")) / (F.col("_pdi") + F.col("_mdi") + S.EPS)
     return ewm(df.withColumn("_dx", F.coalesce(dx, F.lit(0.0))), {"_dx": "adx"}, 1 / period).drop("_pdm", "_mdm", "_pdi", "_mdi", "_dx")
@@ -70,9 +70,7 @@ def indicators(candles: DataFrame, cfg: Settings, as_of: Column, *, profile: Dat
     the rolling median before the bar. bench: (ts_end, bench_ret_30m) to join, or one value."""
     bars = completed(keep_last(candles), as_of)
     df = with_chunks(bars, chunk)
-    df = ewm(df, {"close": "_fast"}, 2 / 13)
-    df = ewm(df, {"close": "_slow"}, 2 / 27)
-    df = trend(df)
+    df = trend(df, more=(("close", "_fast", 2 / 13), ("close", "_slow", 2 / 27)))
     c, v = F.col("close"), F.col("volume")
     df = df.withColumns(
         {
