@@ -211,7 +211,7 @@ def signature_rows(k: int, percent: int, frequent: np.ndarray, most: np.ndarray)
                 h = xxhash.xxh3_64_intdigest(s.tobytes())
                 if h in done or not len(s):
                     continue
-                if len(done) > 1_000_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.add(h)
                 sig, combo = signatures(s, frequent, most, percent)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ def word_slots(w: bytes) -> tuple[int, int]:
     """Hashed feature of a word and of its last three bytes."""
     got = _words.get(w)
     if got is None:
-        if len(_words) > 100_000:
+        if len(_words) > 60_000:
             _words.clear()
         got = _words[w] = (zlib.crc32(w) % (HASHED // 2), HASHED // 2 + zlib.crc32(w[-3:], 7) % (HASHED // 2))
     return got
@@ -156,7 +156,7 @@ def chain(e: np.ndarray, n: np.ndarray, change: np.ndarray) -> tuple[np.ndarray,
         beta[:, t] = np.where(inside[:, t + 1, None], b, 0)
     last = alpha[np.arange(rows), n - 1]
     z = np.logaddexp(last[:, 0], last[:, 1])
-    p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * inside
+    p = np.exp(np.where(inside, alpha[:, :, 1] + beta[:, :, 1] - z[:, None], -np.inf))
     pairs = np.zeros((2, 2))
     for a in range(2):
         for b in range(2):
@@ -282,10 +282,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
 def score(docs: DataFrame, field: Field, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1, higher for better texts, in a new column ``out`` (underscores before it if docs has one)."""
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.Series(field.score(np.array([field.quality(lines_of(t or "")) for t in part])))
+            yield pa.array(field.score(np.array([field.quality(lines_of(t.as_py() or "")) for t in part])), pa.float64())
 
     small_batches(docs.sparkSession)
     return docs.withColumn(free_name(docs, out), scored(F.col(text_col)))
