@@ -119,3 +119,11 @@ def test_one_row_of_each_group_stays(spark):
     assert got == [("0", "q"), ("1", "a b c d e"), ("7", ""), ("8", ""), ("None", "s t")]
     assert N.drop_near_copies(frame).columns == frame.columns
     assert N.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_long_shingles(spark):
+    docs = corpus(9, groups=4, size=4, words=40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(frame, words=9, percent=60) == want(docs, 9, 60)
+    with pytest.raises(ValueError, match="words"):
+        N.shingle_set("a b", 65)

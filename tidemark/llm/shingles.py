@@ -1,4 +1,8 @@
-"""Word shingles of whole texts as sorted arrays of 64-bit hashes, computed on bytes with numpy."""
+"""Word shingles of whole texts as sorted arrays of 64-bit hashes, computed on bytes with numpy.
+
+Edge cases: null, empty and blank texts have no words and the empty set; a text with fewer words than a
+shingle has one shingle, of all its words; words and texts of any length are hashed whole, in slices of
+bounded size; repeated shingles count once. Shingles have at most MOST_WORDS words."""
 
 from __future__ import annotations
 
@@ -17,6 +21,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+MOST_WORDS = 64
+PLACES = np.concatenate([PLACES, mix(np.arange(len(PLACES), MOST_WORDS, dtype=np.uint64)) | np.uint64(1)])
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -75,6 +83,8 @@ def _hash_words(raw: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words, one of the whole sequence."""
+    if not 1 <= k <= MOST_WORDS:
+        raise ValueError(f"shingles have 1 to {MOST_WORDS} words")
     h = text_words(text)
     if not len(h):
         return h

@@ -2,7 +2,11 @@
 
 The file's pre-tokenizer drops white space and never joins across it, so a text's ids are the
 concatenation of the ids of its runs between ASCII white space. ``check_splittable`` refuses
-tokenizer files for which that is not known.
+tokenizer files for which that is not known; those encode whole texts.
+
+Edge cases: an empty or blank text has no ids (callers pass "" for null); texts of any length are encoded
+whole, in pieces cut after white space; equal texts of a call are encoded once; two generations of a
+bounded word cache only save time.
 """
 
 from __future__ import annotations
