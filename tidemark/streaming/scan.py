@@ -15,13 +15,14 @@ def warm_start(spark: SparkSession, root: str) -> tuple[DataFrame | None, dict |
     return snapshots.load(spark, f"{root}/scores_latest"), snapshots.load_document(spark, f"{root}/last_scan")
 
 
-def on_ticks(spark: SparkSession, scan: Callable[[], None], checkpoint: str, *, minutes: int = 30) -> StreamingQuery:
+def on_ticks(spark: SparkSession, scan: Callable[[], None], checkpoint: str, *, minutes: float = 30) -> StreamingQuery:
     """Run scan at every multiple of minutes since midnight UTC, as Structured Streaming aligns its triggers.
 
     The source is a clock; scan reads the store as it is at the tick and publishes. A scan that fails ends
-    the query with its error, and a restart goes on with the next tick."""
+    the query with its error, and a restart goes on with the next tick. A scan that takes longer than a tick skips those
+    it missed."""
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    started = clock.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes")
+    started = clock.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(60 * minutes)} seconds")
     return started.foreachBatch(lambda batch, epoch: scan()).start()
 
 
