@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_output, embedding_dedup, fingerprints, html_extract, mixing, ngram_join, packing, quality, secrets, sharding
+from . import arrow_output, embedding_dedup, fingerprints, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, token_alignment
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_arrow_output": arrow_output.op9_arrow_output,
     "op10_secrets": secrets.op10_secrets,
+    "op12_alignment": token_alignment.op12_alignment,
 }
 SQL = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op10_secrets": secrets.OP10_SQL}
