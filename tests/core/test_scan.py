@@ -14,6 +14,7 @@ from tidemark.plans import training as T
 from tidemark.plans.features import indicators, last_bars, latest_features
 from tidemark.schemas import CANDLES, FEATURES
 from tidemark.sources import rest, snapshots
+from tidemark.sources.versions import Log, Store
 from tidemark.streaming import ingest
 from tidemark.streaming import scan as stream
 
@@ -98,7 +99,9 @@ def test_latest_features_equal_the_last_bars(spark):
 
 def test_load_bundle_reasons(spark, tmp_path):
     def meta(text):
-        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{tmp_path}/m/meta")
+        log = tmp_path / "m/log"
+        log.mkdir(parents=True, exist_ok=True)
+        (log / "000000000001.json").write_text('{"folder": "data/none", "meta": ' + text + "}")
         return T.load_bundle(spark, f"{tmp_path}/m")[1]
 
     assert T.load_bundle(spark, f"{tmp_path}/none")[1] == "missing"
@@ -115,7 +118,7 @@ def test_retrain_publishes_models_and_scans(spark, tmp_path, monkeypatch):
     minutes = candles(spark, *(series(p, 7000, seconds=60) for p in names))
     seen = {}
     monkeypatch.setattr(T, "fit_target", lambda split, y, c: seen.setdefault(y, split) and fixed_bundle())
-    monkeypatch.setattr(T.Bundle, "save", lambda self, path: snapshots.publish_document(spark, {"saved": True}, f"{path}/meta"))
+    monkeypatch.setattr(T.Bundle, "save", lambda self, path: snapshots.publish_document(spark, {"saved": True}, path))
     scans = []
     report = N.retrain(products(spark, *names), five, minutes, cfg, at(NOW), str(tmp_path), then=lambda: scans.append(1))
     assert report["last_error"] is None and report["products"] == 2 and scans == [1]
@@ -124,6 +127,14 @@ def test_retrain_publishes_models_and_scans(spark, tmp_path, monkeypatch):
     assert rows[0] >= first + dt.timedelta(minutes=5 * 31) and set(rows[1]) == {"A-USD", "B-USD"}
     assert {(r["product_id"], r["granularity_sec"], r["n"]) for r in snapshots.load(spark, f"{tmp_path}/training_products").collect()} == {(p, g, 3 * 86400 // g) for p in ("A-USD", "B-USD") for g in (60, 300)}
     assert snapshots.load_document(spark, f"{tmp_path}/training_status") == {"running": False, "last_error": None}
+
+    def broken(*a, **b):
+        raise OSError("disk")
+
+    with monkeypatch.context() as m, pytest.raises(OSError, match="disk"):
+        m.setattr(T, "train", broken)
+        N.retrain(products(spark, *names), five, minutes, cfg, at(NOW), str(tmp_path))
+    assert snapshots.load_document(spark, f"{tmp_path}/training_status") == {"running": False, "last_error": "disk"}
     failed = N.retrain(products(spark, *names), five.limit(0), minutes, cfg, at(NOW), str(tmp_path), then=lambda: scans.append(2))
     assert failed["last_error"] == "no_training_rows" and scans == [1]
 
@@ -143,14 +154,14 @@ def test_streamed_candles_are_merged_scanned_and_published(spark, tmp_path):
     candles(spark, series("A-USD", 20), series("B-USD", 20)).coalesce(1).write.parquet(f"{tmp_path}/in")
 
     def scan():
-        held = spark.read.schema(CANDLES).parquet(store).where("granularity_sec = 300")
+        held = Store(spark, store).read().where("granularity_sec = 300")
         N.publish(N.scan(products(spark, "A-USD", "B-USD", "N-USD"), held, CFG, at(NOW)), root, NOW.isoformat())
 
     source = spark.readStream.schema(CANDLES).parquet(f"{tmp_path}/in")
-    stream.on_candles(source, scan, lambda batch: ingest.merge(batch.sparkSession, batch, store, f"{tmp_path}/staging"), f"{tmp_path}/check").awaitTermination()
+    stream.on_candles(source, scan, lambda batch: ingest.merge(batch, store), f"{tmp_path}/check").awaitTermination()
     scores, document = stream.warm_start(spark, root)
     assert scores.count() == 2 and document["rows_count"] == 2 and document["last_candle_timestamp"] == "2024-01-10T12:00:00+00:00"
-    assert [r["product"] for r in snapshots.load(spark, f"{root}/skipped_latest").collect()] == ["N-USD"]
+    assert [r["product"] for r in snapshots.load_run(spark, f"{root}/scan")[0]["skipped"].collect()] == ["N-USD"]
 
 
 def test_ticks_call_the_scan(spark, tmp_path):
@@ -165,11 +176,63 @@ def test_ticks_call_the_scan(spark, tmp_path):
         query.stop()
 
 
+def test_ticks_follow_midnight_and_outlive_a_failing_scan(spark, tmp_path):
+    day = dt.datetime(2024, 1, 10, tzinfo=dt.UTC)
+    assert stream.tick(day + dt.timedelta(minutes=20), 7 * 60) == day + dt.timedelta(minutes=14)
+    assert stream.tick(day + dt.timedelta(hours=23, minutes=59), 7 * 60) == day + dt.timedelta(minutes=205 * 7)
+    assert stream.tick(day, 1800) == day
+    calls = []
+
+    def scan():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError(f"down {len(calls)}")
+
+    query = stream.on_ticks(spark, scan, f"{tmp_path}/ticks", minutes=1 / 30, status=f"{tmp_path}/status")
+    try:
+        until = time.time() + 60
+        seen = set()
+        while len(calls) < 4 and time.time() < until:
+            seen.add(str((snapshots.load_document(spark, f"{tmp_path}/status") or {}).get("last_error")))
+            time.sleep(0.1)
+        assert len(calls) >= 4 and query.exception() is None and "RuntimeError: down 1" in seen
+        assert snapshots.load_document(spark, f"{tmp_path}/status")["last_error"] is None
+    finally:
+        query.stop()
+
+
+def test_other_sessions_models_start_a_scan(spark, tmp_path):
+    """Models published through another session are found by the log alone, each once."""
+    root, scans = str(tmp_path / "models"), []
+    for k in (1, 2):
+        Log(spark.newSession(), f"{root}/pt{k}").append({"folder": "data/x", "meta": {}})
+    run = lambda: stream.on_models(spark, root, lambda: scans.append(1), f"{tmp_path}/check", interval=None).awaitTermination()
+    run()
+    assert scans == [1]
+    run()
+    assert scans == [1]  # nothing new after a restart
+    Log(spark.newSession(), f"{root}/pt2").append({"folder": "data/y", "meta": {}})
+    run()
+    assert scans == [1, 1]
+
+
+def test_scan_reads_only_the_days_of_the_lookback(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.merge(candles(spark, series("A-USD", 288 * 6), series("B-USD", 288 * 6)))
+    held = N.lookback(store.read().where("granularity_sec = 300"), at(NOW), N.LOOKBACK_HOURS)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    filters = next(x for x in plan.split("PartitionFilters: [")[1:]).split("], PushedFilters")[0]
+    assert "day#" in filters and "granularity_sec#" in filters
+    assert "day" not in held.columns and held.count() == 2 * 576
+    with_day = N.scan(products(spark, "A-USD", "B-USD"), store.read().where("granularity_sec = 300"), CFG, at(NOW)).scores.collect()
+    assert with_day == N.scan(products(spark, "A-USD", "B-USD"), store.read().drop("day"), CFG, at(NOW)).scores.collect()
+
+
 def test_upsert_stream_and_bars_with_watermark(spark, tmp_path):
     made = candles(spark, series("A-USD", 4), [series("A-USD", 4)[3][:6] + (999.0, 1.0, 99)])
     made.coalesce(1).write.parquet(f"{tmp_path}/in")
     ingest.upsert_stream(spark.readStream.schema(CANDLES).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/check", interval=None).awaitTermination()
-    got = spark.read.schema(CANDLES).parquet(f"{tmp_path}/store").orderBy("ts_start").collect()
+    got = Store(spark, f"{tmp_path}/store").read().orderBy("ts_start").collect()
     assert len(got) == 4 and got[-1]["close"] == 999.0
     trades = [("A", NOW + dt.timedelta(seconds=s), 10.0 + s, 1.0, s) for s in (0, 70, 100, 400, 2000)]
     spark.createDataFrame(trades, "product_id string, ts timestamp, price double, volume double, seq long").coalesce(1).write.parquet(f"{tmp_path}/trades")

@@ -41,7 +41,7 @@ def model_view(loaded: dict[str, tuple[training.Bundle | None, str]]) -> dict:
     state = {name: loaded.get(name, (None, "missing")) for name in MODELS}
     both = all(bundle is not None for bundle, _ in state.values())
     view = {name: {"ok": bundle is not None, "reason": why, "target": MODELS[name]} for name, (bundle, why) in state.items()}
-    return {"using": MODEL if both else FALLBACK, **view, "schema_warning": None if both else "Model missing or incompatible; heuristic fallback in use."}
+    return {"using": MODEL if both else FALLBACK, **view, "schema_warning": None if both else "No usable pair of models: the heuristic scores instead."}
 
 
 def with_probabilities(scanned: DataFrame, loaded: dict[str, tuple[training.Bundle | None, str]]) -> tuple[DataFrame, str]:
@@ -59,14 +59,20 @@ def with_probabilities(scanned: DataFrame, loaded: dict[str, tuple[training.Bund
     return scoring.heuristic(scanned), FALLBACK
 
 
+def lookback(candles: DataFrame, scan_time: Column, hours: int) -> DataFrame:
+    """Candles of the last hours, and of their days where candles have a day column."""
+    since = scan_time - F.expr(f"INTERVAL {hours} HOURS")
+    own = candles.where(F.col("ts_start") >= since)
+    return own.where(F.col("day") >= F.to_date(since)).drop("day") if "day" in candles.columns else own
+
+
 def scan(products: DataFrame, candles: DataFrame, cfg: Settings, scan_time: Column, *, profile: DataFrame | None = None, models: dict | None = None, failures: DataFrame | None = None) -> Scan:
     """products (id, quote, status), 5-minute candles -> Scan.
 
-    Only candles of the lookback are read, so a store partitioned by day is pruned. profile: the products'
-    volume profiles; failures: (product_id, error) of products whose candles could not be fetched."""
-    since = lambda hours: F.col("ts_start") >= scan_time - F.expr(f"INTERVAL {hours} HOURS")
-    bench = latest_features(candles.where((F.col("product_id") == cfg.benchmark_symbol) & since(BENCHMARK_HOURS)), cfg, scan_time)
-    own = candles.where(since(LOOKBACK_HOURS))
+    Only candles of the lookback are read; where candles have a day column, as the store's do, other days are pruned. profile:
+    the products' volume profiles; failures: (product_id, error) of products whose candles could not be fetched."""
+    bench = latest_features(lookback(candles, scan_time, BENCHMARK_HOURS).where(F.col("product_id") == cfg.benchmark_symbol), cfg, scan_time)
+    own = lookback(candles, scan_time, LOOKBACK_HOURS)
     feats = with_one_benchmark(latest_features(own, cfg, scan_time, profile=profile), bench)
     scanned, source = with_probabilities(scoring.scan_status(products, feats, cfg, scan_time, own, failures), models or {})
     scanned = written(scanned, "scanned")  # a row for each product, read by four results
@@ -76,16 +82,16 @@ def scan(products: DataFrame, candles: DataFrame, cfg: Settings, scan_time: Colu
 
 
 def publish(result: Scan, root: str, run_at: str) -> None:
-    """Scores, coverage, skipped products and a document about the run below root."""
-    spark = result.scores.sparkSession
-    snapshots.publish_scan(result.scores, result.coverage, root)
-    snapshots.publish(result.skipped, f"{root}/skipped_latest")
-    top = scoring.top_candle_time(result.scores).first()[0]
-    snapshots.publish_document(spark, {"last_run_utc": run_at, "last_candle_timestamp": top, "model": result.models, "rows_count": result.scores.count()}, f"{root}/last_scan")
+    """Scores, coverage, skipped products and a document about the run below root, as one version."""
+    tables = {"scores": result.scores, "coverage": result.coverage, "skipped": result.skipped}
+    facts = {"last_candle_timestamp": lambda w: scoring.top_candle_time(w["scores"]).first()[0], "rows_count": lambda w: w["scores"].count()}
+    snapshots.publish_run(result.scores.sparkSession, tables, {"last_run_utc": run_at, "model": result.models, **facts}, f"{root}/scan")
 
 
 def retrain(products: DataFrame, candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings, as_of: Column, root: str, *, auto: bool = False, then: Callable[[], None] | None = None) -> dict:
-    """Train both models, save them below root, publish status and report; then: what follows a new model, a scan."""
+    """Train both models, save them below root, publish status and report; then: what follows a new model, a scan.
+
+    Whatever fails ends up in the status; what is not about the data is raised again."""
     spark = products.sparkSession
     status = {"running": True, "last_error": None}
     snapshots.publish_document(spark, status, f"{root}/training_status")
@@ -96,8 +102,11 @@ def retrain(products: DataFrame, candles_5m: DataFrame, candles_1m: DataFrame, c
         snapshots.publish(report.pop("per_product"), f"{root}/training_products")
         snapshots.publish_document(spark, report, f"{root}/training_report")
         status = {"running": False, "last_error": None}
-    except ValueError as e:
-        report, status = {}, {"running": False, "last_error": str(e)}
+    except Exception as e:
+        report, status = {}, {"running": False, "last_error": str(e) or type(e).__name__}
+        if not isinstance(e, ValueError):
+            snapshots.publish_document(spark, status, f"{root}/training_status")
+            raise
     snapshots.publish_document(spark, status, f"{root}/training_status")
     if then and not status["last_error"]:
         then()

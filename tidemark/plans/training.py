@@ -13,6 +13,7 @@ from ..config import Settings
 from ..functions.scalar import bucket4, clip, logit
 from ..schemas import FEATURES, SCHEMA_VERSION
 from ..sources.tables import written
+from ..sources.versions import Log
 from .features import benchmark_returns, indicators, with_benchmark
 from .labels import labels
 
@@ -21,6 +22,8 @@ MAX_ITERATIONS = 4000
 SPLINED = ("time_remaining_frac", "rvol_tod", "vwap_loc", "donch_dist")
 KNOTS, DEGREE = 5, 3
 SCORE_RANGES = 4096
+#: Fixed value: the blend weight of a bundle without one.
+DEFAULT_ALPHA = 0.8
 
 
 def training_matrix(candles_5m: DataFrame, candles_1m: DataFrame, cfg: Settings, as_of: Column) -> DataFrame:
@@ -139,27 +142,29 @@ class Bundle:
     feature_names: tuple[str, ...] = tuple(FEATURES)
     schema_version: str = SCHEMA_VERSION
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+    def save(self, path: str) -> int:
+        """The next version below path: a new folder with the pipeline, and a log entry with all else."""
+        log = Log(SparkSession.getActiveSession(), path)
+        folder = log.new_folder()
+        self.pipeline.save(f"{log.root}/{folder}")
         meta = {k: v for k, v in self.__dict__.items() if k not in ("pipeline", "calibrators")}
         meta["calibrators"] = {b: c.__dict__ for b, c in self.calibrators.items()}
-        spark = SparkSession.getActiveSession()
-        spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).write.mode("overwrite").text(f"{path}/meta")
+        version = log.append({"folder": folder, "meta": json.loads(json.dumps(meta))})
+        log.vacuum()
+        return version
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[Bundle | None, str]:
-    """(bundle, reason): ok, missing, load_error, invalid_bundle, schema_version_mismatch or missing_feature_names."""
-    from pyspark.errors import AnalysisException
+    """(bundle, reason) of the newest version: ok, missing, load_error, invalid_bundle, schema_version_mismatch or
+    missing_feature_names. Without a blend weight DEFAULT_ALPHA holds; without ranges a column has no splines, without
+    calibrators probabilities stay as they are, without priors all buckets have 0.5."""
     from pyspark.ml import PipelineModel
 
-    try:
-        text = spark.read.text(f"{path}/meta").first()
-    except AnalysisException:
+    log = Log(spark, path)
+    version, entry = log.latest()
+    if not version:
         return None, "missing"
-    try:
-        meta = json.loads(text["value"])
-    except (ValueError, TypeError):
-        return None, "invalid_bundle"
+    meta = (entry or {}).get("meta")
     if not isinstance(meta, dict):
         return None, "invalid_bundle"
     if meta.get("schema_version") != SCHEMA_VERSION:
@@ -167,11 +172,14 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Bundle | None, str]:
     if not isinstance(meta.get("feature_names"), list):
         return None, "missing_feature_names"
     try:
-        pipeline = PipelineModel.load(f"{path}/pipeline")
+        pipeline = PipelineModel.load(f"{log.root}/{entry['folder']}")
     except Exception as e:  # any failure to read a stored model is a reason, not a crash
         return None, f"load_error:{type(e).__name__}"
-    cals = {int(b): Calibrator(**c) for b, c in meta["calibrators"].items()}
-    return Bundle(pipeline, meta["scale"], cals, {int(b): p for b, p in meta["priors"].items()}, meta["alpha"], meta["metrics"], tuple(meta["feature_names"])), "ok"
+    cals = {b: Calibrator() for b in range(4)} | {int(b): Calibrator(**c) for b, c in (meta.get("calibrators") or {}).items()}
+    priors = dict.fromkeys(range(4), 0.5) | {int(b): p for b, p in (meta.get("priors") or {}).items()}
+    alpha = meta.get("alpha")
+    scale = {f: [0.0, 0.0] for f in SPLINED} | (meta.get("scale") or {})
+    return Bundle(pipeline, scale, cals, priors, DEFAULT_ALPHA if alpha is None else alpha, meta.get("metrics") or {}, tuple(meta["feature_names"])), "ok"
 
 
 def _expanded(df: DataFrame, scale: dict[str, list[float]]) -> tuple[DataFrame, list[str]]:

@@ -4,6 +4,7 @@ Times are compared as text and doubles at six decimals (adding 0.0 drops the sig
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from .plans import universe as U
 from .schemas import FEATURES
 from .sources import candles as C
 from .sources.tables import shared_folder, written
+from .sources.versions import Store
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 FIXTURE = Settings(liq_dvol_min_usd=5000.0, benchmark_symbol="view")
@@ -650,3 +652,27 @@ def _stream(spark, sf):
     both = batch.join(live, ["product_id", "ts_start"], "full")
     apart = F.greatest(F.abs(F.col("atr") - F.col("_atr")), F.abs(F.col("adx") - F.col("_adx")), F.abs(F.col("ema_diff_pct") - F.col("_ema")))
     return both.groupBy("product_id").agg(F.count(F.lit(1)).alias("bars"), F.count_if(apart.isNull()).alias("unmatched"), F.max(apart).alias("largest_difference"))
+
+
+# ---- versions ------------------------------------------------------------------------------
+
+@query("store_versions", f"""WITH {sql_candles("c", 300)},
+x AS (SELECT 1 AS version, * FROM c WHERE ts_start < TIMESTAMP '2024-01-11'
+  UNION ALL SELECT 2, * FROM c WHERE ts_start < TIMESTAMP '2024-01-21'
+  UNION ALL SELECT 3, product_id, ts_start, open, high, low, CASE WHEN product_id = 'view' AND ts_start < TIMESTAMP '2024-01-06' THEN close + 1 ELSE close END, volume, ingest_seq FROM c WHERE ts_start < TIMESTAMP '2024-01-21')
+SELECT CAST(version AS INTEGER) AS version, strftime(ts_start, '%Y-%m-%d') AS day, product_id, count(*) AS n, round(sum(close), 6) + 0.0 AS close, round(sum(volume), 6) + 0.0 AS volume
+FROM x GROUP BY 1, 2, 3""")
+def _store_versions(spark, sf):
+    """Ten days, ten later days, and corrected bars of one product: three versions, each read as it was published."""
+    made = written(candles(spark, sf, 300), "candles")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    day = lambda n: F.col("ts_start") < ntz(f"2024-01-{n:02d} 00:00:00")
+    store.merge(made.where(day(11)))
+    store.merge(made.where(~day(11) & day(21)))
+    store.merge(made.where((F.col("product_id") == "view") & day(6)).withColumn("close", F.col("close") + 1).withColumn("ingest_seq", F.col("ingest_seq") + 1))
+    out = None
+    for v in store.versions():
+        per_day = store.read(v).groupBy("day", "product_id").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("close"), F.sum("volume").alias("volume"))
+        per_day = per_day.select(F.lit(v).alias("version"), F.date_format("day", "yyyy-MM-dd").alias("day"), "product_id", "n", r6("close"), r6("volume"))
+        out = per_day if out is None else out.unionByName(per_day)
+    return out

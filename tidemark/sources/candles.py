@@ -87,14 +87,3 @@ def events_as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("double")
     return e.select(F.col("event_type").alias("product_id"), "ts", (100 + 0.015 * F.col("value")).alias("price"), (1 + k).alias("volume"), F.col("event_id").alias("seq"))
-
-
-def write_store(candles: DataFrame, path: str) -> None:
-    """Parquet by granularity; only the granularities present are rewritten."""
-    candles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity_sec").parquet(path)
-
-
-def read_store(spark: SparkSession, path: str, granularity: int) -> DataFrame:
-    from ..schemas import CANDLES
-
-    return spark.read.schema(CANDLES).parquet(path).where(F.col("granularity_sec") == granularity)

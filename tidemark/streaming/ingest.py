@@ -1,16 +1,12 @@
-"""Streaming ingestion: bars from trades, and upserts into a partitioned candle store."""
+"""Streaming ingestion: bars from trades, and upserts into a versioned candle store."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..schemas import CANDLES
-from ..sources.candles import keep_last
-
-PARTS = ["granularity_sec", "day"]
+from ..sources.versions import Store
 
 
 def bars(trades: DataFrame, seconds: int, *, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -21,30 +17,12 @@ def bars(trades: DataFrame, seconds: int, *, late: str = "10 minutes", ts: str =
     return made.select("product_id", F.lit(seconds).alias("granularity_sec"), F.col("w.start").cast("timestamp_ntz").alias("ts_start"), "open", "high", "low", "close", "volume", "ingest_seq")
 
 
-def merge(spark: SparkSession, fresh: DataFrame, path: str, staging: str) -> None:
-    """Upsert a batch: only the (granularity, day) partitions that it touches are rewritten.
-
-    The merged partitions are staged first, so the store is never read while it is overwritten;
-    a repeated batch gives the same store."""
-    fresh = fresh.withColumn("day", F.to_date("ts_start"))
-    try:
-        stored = spark.read.schema(f"{CANDLES}, day DATE").parquet(path)
-        touched = fresh.select(*PARTS).distinct()
-        both = fresh.unionByName(stored.join(F.broadcast(touched), PARTS, "left_semi"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        both = fresh
-    keep_last(both).write.mode("overwrite").parquet(staging)
-    out = spark.read.parquet(staging).repartition(*PARTS)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+def merge(fresh: DataFrame, path: str, txn: tuple[str, int] | None = None) -> int:
+    """Upsert a batch into the versioned store at path; a batch that is sent again under its txn changes nothing."""
+    return Store(fresh.sparkSession, path).merge(fresh, txn=txn)
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, *, interval: str | None = "30 minutes") -> StreamingQuery:
-    """Micro-batches on aligned ticks (or all that is there now, with interval None) into the store."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        merge(batch.sparkSession, batch, path, f"{checkpoint}/staging")
-
-    out = stream.writeStream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(write)
+    """Micro-batches on aligned ticks (or all that is there now, with interval None) into the store, each exactly once."""
+    out = stream.writeStream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(lambda batch, epoch: merge(batch, path, (checkpoint, epoch)))
     return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
