@@ -18,10 +18,12 @@ from .plans import scan as N
 from .plans import scoring as R
 from .plans import training as T
 from .plans import universe as U
-from .schemas import FEATURES
+from .schemas import CANDLES, FEATURES
 from .sources import candles as C
 from .sources.tables import shared_folder, written
 from .sources.versions import Store
+from .streaming.features import running_features, state_settings
+from .streaming.indicators import running_indicators
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 FIXTURE = Settings(liq_dvol_min_usd=5000.0, benchmark_symbol="view")
@@ -612,10 +614,18 @@ def _safe(spark, sf):
     return p.select("p_partkey", S.safe_filename(F.concat("p_name", F.lit("/"), "p_type", F.lit("-é.x"))).alias("name"))
 
 
-@query("spline_basis", None)
+def sql_spline(x: str, lo: float, hi: float, knots: int = 5) -> str:
+    """Cubic basis on even knots: each function is one curve of four pieces, moved by a knot."""
+    step = (hi - lo) / (knots - 1)
+    t = lambda k: f"((least({hi}, greatest({lo}, {x})) - ({lo + step * (k - 3)})) / {step})"
+    piece = "CASE WHEN # < 0 OR # >= 4 THEN 0 WHEN # < 1 THEN #*#*#/6 WHEN # < 2 THEN (-3*#*#*# + 12*#*# - 12*# + 4)/6 WHEN # < 3 THEN (3*#*#*# - 24*#*# + 60*# - 44)/6 ELSE (4-#)*(4-#)*(4-#)/6 END"
+    return ", ".join(f"round({piece.replace('#', t(k))}, 6) + 0.0 AS b{k}" for k in range(knots + 1))
+
+
+@query("spline_basis", f"WITH {sql_features()} SELECT product_id, {t19('ts_end')}, {sql_spline('vwap_loc', -5.0, 5.0)} FROM f")
 def _spline(spark, sf):
     cols = T.spline_columns("vwap_loc", -5.0, 5.0)
-    return features(spark, sf).select("product_id", "ts_end", *[c.alias(f"b{k}") for k, c in enumerate(cols)])
+    return show(features(spark, sf).select("product_id", "ts_end", *[c.alias(f"b{k}") for k, c in enumerate(cols)]))
 
 
 @query("lr_probs", None)
@@ -628,30 +638,44 @@ def _lr(spark, sf):
     return out.select("product_id", "ts_end", "y1", "prob_1", "y2", "prob_2")
 
 
-@query("stream_equals_batch", None)
-def _stream(spark, sf):
-    """Indicators of a stream of bar files beside the batch result: largest difference per product."""
-    import uuid
+def bar_files(spark, sf, root: str) -> list[DataFrame]:
+    """Completed bars of three periods, for streams that read one file after the other."""
+    bars = written(C.completed(candles(spark, sf, 300), ntz(AS_OF_TEXT)).drop("ts_end"), "bars")
+    days = ("2024-01-01", "2024-01-12", "2024-01-21", "2024-02-01")
+    return [bars.where((F.col("ts_start") >= ntz(f"{a} 00:00:00")) & (F.col("ts_start") < ntz(f"{b} 00:00:00"))) for a, b in zip(days, days[1:], strict=False)]
 
-    from .operators.chunks import with_chunks
-    from .operators.windows import ewm
-    from .schemas import CANDLES
-    from .streaming.indicators import running_indicators
 
+@query("stream_equals_batch", f"""WITH {sql_features()} SELECT product_id, {t19("ts_start")}, round((fast - slow) / (close + 1e-12), 6) + 0.0 AS ema_diff_pct, {d6("atr", "adx", "obv")} FROM k5""")
+def _stream(spark, sf):
+    """Running indicators of a stream of bar files."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    bars = C.completed(candles(spark, sf, 300), ntz(AS_OF_TEXT))
-    for k, (a, b) in enumerate((("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-21"), ("2024-01-21", "2024-02-01"))):
-        part = bars.where((F.col("ts_start") >= ntz(f"{a} 00:00:00")) & (F.col("ts_start") < ntz(f"{b} 00:00:00"))).drop("ts_end")
+    for k, part in enumerate(bar_files(spark, sf, root)):
         part.coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{root}/bars")
     stream = spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars")
     out = running_indicators(stream).writeStream.outputMode("append").option("checkpointLocation", f"{root}/state")
     out.trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{root}/out")).start().awaitTermination()
-    live = spark.read.parquet(f"{root}/out")
-    batch = P.trend(ewm(ewm(with_chunks(bars), {"close": "_fast"}, 2 / 13), {"close": "_slow"}, 2 / 27)).where("core")
-    batch = batch.select("product_id", "ts_start", F.col("atr").alias("_atr"), F.col("adx").alias("_adx"), ((F.col("_fast") - F.col("_slow")) / (F.col("close") + S.EPS)).alias("_ema"))
-    both = batch.join(live, ["product_id", "ts_start"], "full")
-    apart = F.greatest(F.abs(F.col("atr") - F.col("_atr")), F.abs(F.col("adx") - F.col("_adx")), F.abs(F.col("ema_diff_pct") - F.col("_ema")))
-    return both.groupBy("product_id").agg(F.count(F.lit(1)).alias("bars"), F.count_if(apart.isNull()).alias("unmatched"), F.max(apart).alias("largest_difference"))
+    return show(spark.read.parquet(f"{root}/out"))
+
+
+@query("stream_features", f"WITH {sql_features()} SELECT product_id, {t19('ts_end')}, {d6(*FEATURES)} FROM f")
+def _stream_features(spark, sf):
+    """All 25 features of a stream: two files, a stop, and the third file after a restart from the checkpoint. The last two bars
+    of each period are sent again with the next one."""
+    root = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    parts = bar_files(spark, sf, root)
+    out_schema = None
+    for k, part in enumerate(parts):
+        newest = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("ts_start")))
+        again = parts[k - 1].withColumn("_n", newest).where("_n <= 2").drop("_n") if k else part.limit(0)
+        part.unionByName(again).coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{root}/bars")
+        if not k:
+            continue
+        with state_settings(spark, drain=True):
+            live = running_features(spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars"), FIXTURE)
+            out_schema = live.schema
+            run = live.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+            run.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).start().awaitTermination()
+    return show(spark.read.schema(out_schema).parquet(f"{root}/out").select("product_id", "ts_end", *FEATURES))
 
 
 # ---- versions ------------------------------------------------------------------------------
