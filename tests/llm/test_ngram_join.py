@@ -127,3 +127,12 @@ def test_long_shingles(spark):
     assert found(frame, words=9, percent=60) == want(docs, 9, 60)
     with pytest.raises(ValueError, match="words"):
         N.shingle_set("a b", 65)
+
+
+def test_links_of_large_sets_are_compared_in_integers():
+    """Sets whose counts single precision cannot tell apart: at the threshold, and one word short of it."""
+    whole = np.arange(2_000_000, dtype=np.uint64)
+    for common, linked in ((1_700_000, True), (1_699_999, False)):
+        part = whole[:common]
+        got = N.set_links(np.array([len(whole), len(part)]), [whole.tobytes(), part.tobytes()], 85)
+        assert got[0, 1] == got[1, 0] == linked and not got[0, 0]

@@ -18,12 +18,12 @@ BLOCK_TAGS = frozenset(
 #: those whose content is hidden if they are closed (unclosed ones hide nothing).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea".split())
-HIDDEN_TAGS = frozenset("template noscript iframe svg object".split())
+HIDDEN_TAGS = frozenset("template iframe svg".split())
 #: Elements that a start tag of the same family closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT_NAMES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 

@@ -309,7 +309,7 @@ def sketch_linked(n: np.ndarray, blobs: list[bytes], percent: int) -> Linked:
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes, right above the diagonal."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m), np.int32)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], np.repeat(np.arange(m), [len(s) for s in sets])[order]
@@ -332,15 +332,15 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
             own = at[(number[at] >= lo) & (number[at] < lo + step)]
             dense = np.zeros((m, step), np.float32)
             dense[owner[own], number[own] - lo] = 1
-            out += dense @ dense.T
+            out += (dense @ dense.T).astype(np.int32)  # step columns: exact in single precision
     return out
 
 
 def set_links(n: np.ndarray, blobs: list[bytes], percent: int) -> np.ndarray:
     """Matrix of which full sets link."""
     common = common_counts([np.frombuffer(b, np.uint64) for b in blobs])
-    common = np.triu(common, 1)
-    links = 100.0 * common >= percent * (n[:, None] + n[None, :] - common)
+    common = np.triu(common, 1).astype(np.int64)
+    links = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     links &= common > 0
     return links | links.T
 
