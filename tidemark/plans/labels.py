@@ -15,15 +15,32 @@ def future_max(bars: DataFrame, horizon: int, *, by_time: bool = False, chunk: i
 
     Each chunk of a product borrows the first rows of the next one. by_time: the bars within
     horizon minutes instead of a number of rows (never more rows, for bars a minute apart)."""
+    if not by_time:
+        return forward_max(bars, horizon, chunk)
     rows = with_chunks(bars, max(chunk, horizon), halo=0, ahead=horizon - 1)
-    if by_time:
-        seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts_start"))
-        w = Window.partitionBy("product_id", "chunk").orderBy(seconds).rangeBetween(0, horizon * 60 - 1)
-    else:
-        w = Window.partitionBy("product_id", "chunk").orderBy("i").rowsBetween(0, horizon - 1)
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts_start"))
+    w = Window.partitionBy("product_id", "chunk").orderBy(seconds).rangeBetween(0, horizon * 60 - 1)
     return rows.withColumn("h_future", F.max("high").over(w)).where("core").drop("chunk", "core")
 
 
+def forward_max(bars: DataFrame, horizon: int, chunk: int = CHUNK) -> DataFrame:
+    """future_max by rows, at a cost that does not depend on the horizon.
+
+    Rows fall into blocks of ``horizon`` rows, so the rows ahead of one are the rest of its block and the first rows of the
+    next: the highest high to the end of its block, and the highest from the start of the block of the row that is
+    horizon - 1 ahead. Both are running maxima; past the last row, the last row's stands for those that are not there."""
+    rows = with_chunks(bars, max(chunk, horizon), halo=0, ahead=horizon - 1).withColumn("_block", F.floor(F.col("i") / horizon))
+    whole = Window.partitionBy("product_id", "chunk")
+    block = Window.partitionBy("product_id", "chunk", "_block")
+    grow = lambda order: F.max("high").over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_rest", grow(F.desc("i"))).withColumn("_first", grow(F.asc("i")))
+    here = F.struct("_block", "_first")
+    ahead = F.coalesce(F.lead(here, horizon - 1).over(whole.orderBy("i")), F.last(here).over(whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("_ahead", ahead)
+    high = F.when(F.col("_ahead._block") > F.col("_block"), F.greatest("_rest", F.col("_ahead._first"))).otherwise(F.col("_rest"))
+    return rows.withColumn("h_future", high).where("core").drop("chunk", "core", "_block", "_rest", "_first", "_ahead")
+
+
 def labels(features: DataFrame, minute_bars: DataFrame, horizon: int, *, targets: dict[str, float] | None = None, as_of: Column | None = None, drop_censored: bool = False, by_time: bool = False) -> DataFrame:
     """features (product_id, ts_end, price, ...) with h_future and one 0/1 column per target.
 
