@@ -39,24 +39,33 @@ def trend(df: DataFrame, period: int = 14, more: tuple[tuple[str, str, float], .
     return ewm(df.withColumn("_dx", F.coalesce(dx, F.lit(0.0))), {"_dx": "adx"}, 1 / period).drop("_pdm", "_mdm", "_pdi", "_mdi", "_dx")
 
 
-def volume_profile(bars: DataFrame, cfg: Settings, as_of: Column) -> DataFrame:
-    """(product_id, slot, median_volume, n_days, note): the last completed days' median volume by slot.
+def slot_volumes(bars: DataFrame) -> DataFrame:
+    """(product_id, slot, volume, day) of completed bars: what a profile is made of. A bar that ends at midnight is the next day's."""
+    return bars.select("product_id", S.slot_5m(F.col("ts_end")).alias("slot"), "volume", F.to_date("ts_end").alias("day"))
 
-    Products without a profile have one row with a null slot and the reason in note."""
-    day = F.to_date("ts_end")
-    prior = bars.withColumn("_day", day).where(F.col("_day") < F.to_date(as_of))
-    days = prior.select("product_id", "_day").distinct()
-    recent = days.withColumn("_n", F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("_day").desc()))).where(F.col("_n") <= cfg.tod_rvol_lookback_days)
+
+def profile_of(volumes: DataFrame, products: DataFrame, cfg: Settings, today: Column) -> DataFrame:
+    """volume_profile from slot volumes; products (product_id): all that get a row."""
+    prior = volumes.where(F.col("day") < today)
+    days = prior.select("product_id", "day").distinct()
+    recent = days.withColumn("_n", F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("day").desc()))).where(F.col("_n") <= cfg.tod_rvol_lookback_days)
     counts = recent.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_days"))
     enough = counts.where(F.col("n_days") >= cfg.tod_rvol_min_days)
-    used = prior.join(recent.select("product_id", "_day"), ["product_id", "_day"], "left_semi").join(enough, "product_id")
-    good = used.groupBy("product_id", S.slot_5m(F.col("ts_end")).alias("slot")).agg(F.median("volume").alias("median_volume"), F.max("n_days").alias("n_days"))
-    every = bars.select("product_id").distinct().join(counts, "product_id", "left")
+    used = prior.join(recent.select("product_id", "day"), ["product_id", "day"], "left_semi").join(enough, "product_id")
+    good = used.groupBy("product_id", "slot").agg(F.median("volume").alias("median_volume"), F.max("n_days").alias("n_days"))
+    every = products.select("product_id").distinct().join(counts, "product_id", "left")
     note = F.when(F.col("n_days").isNull(), "insufficient_prior_days").when(F.col("n_days") < cfg.tod_rvol_min_days, F.format_string("insufficient_days(%d)", "n_days"))
     short = every.withColumn("note", note).where("note IS NOT NULL")
     return good.withColumn("note", F.lit("ok")).unionByName(short.select("product_id", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("double").alias("median_volume"), F.coalesce("n_days", F.lit(0)).alias("n_days"), "note"))
 
 
+def volume_profile(bars: DataFrame, cfg: Settings, as_of: Column) -> DataFrame:
+    """(product_id, slot, median_volume, n_days, note): the last completed days' median volume by slot.
+
+    Products without a profile have one row with a null slot and the reason in note."""
+    return profile_of(slot_volumes(bars), bars, cfg, F.to_date(as_of))
+
+
 def profile_array(profile: DataFrame) -> DataFrame:
     """288 medians per product in slot order, missing ones null."""
     held = profile.where("slot IS NOT NULL").groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "median_volume"))).alias("m"), F.max("n_days").alias("n_days"))

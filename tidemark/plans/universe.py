@@ -51,20 +51,24 @@ def live_universe(catalog: DataFrame, cfg: Settings, *, cap: bool = True) -> Dat
     return out
 
 
-def env_universe(spark: SparkSession, cfg: Settings) -> DataFrame:
-    """Configured ids with a dash; no other filter applies."""
-    ids = F.explode(F.array(*map(F.lit, cfg.crypto_universe or ()))) if cfg.crypto_universe else F.explode(F.array().cast("array<string>"))
-    rows = spark.range(1).select(ids.alias("id")).where(F.instr("id", "-") > 0)
+def env_universe(spark: SparkSession, cfg: Settings, ids: DataFrame | None = None) -> DataFrame:
+    """Configured ids with a dash; no other filter applies. ids: a table (id) to take them from instead of the settings."""
+    if ids is None:
+        given = F.explode(F.array(*map(F.lit, cfg.crypto_universe or ()))) if cfg.crypto_universe else F.explode(F.array().cast("array<string>"))
+        ids = spark.range(1).select(given.alias("id"))
+    rows = ids.where(F.instr("id", "-") > 0)
     parts = F.split("id", "-")
     out = rows.select("id", parts[0].alias("base"), parts[1].alias("quote"), F.lit("env").alias("status"))
     return out.limit(cfg.universe_max) if cfg.universe_max > 0 else out
 
 
-def fallback_universe(spark: SparkSession, cfg: Settings) -> DataFrame:
-    """The priority list itself, when the catalog cannot be read."""
+def fallback_universe(spark: SparkSession, cfg: Settings, known: DataFrame | None = None) -> DataFrame:
+    """The priority list itself, when the catalog cannot be read; of it only what a table of known products (id) has, if given."""
     rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, PRIORITY))).alias("rank", "id"))
     rows = rows.select("id", F.substring_index("id", "-", 1).alias("base"), F.substring_index("id", "-", -1).alias("quote"), F.lit("fallback").alias("status"), "rank")
     rows = rows.where(F.col("quote").isin(*cfg.quote_allowlist) & ~is_stable(cfg))
+    if known is not None:
+        rows = rows.join(known.select("id"), "id", "left_semi")
     return rows.orderBy("rank").limit(cfg.universe_max) if cfg.universe_max > 0 else rows
 
 

@@ -4,6 +4,7 @@ Times are compared as text and doubles at six decimals (adding 0.0 drops the sig
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from .plans import scan as N
 from .plans import scoring as R
 from .plans import training as T
 from .plans import universe as U
+from .plans.profiles import ProfileStore
 from .schemas import CANDLES, FEATURES
 from .sources import candles as C
 from .sources.tables import shared_folder, written
@@ -269,6 +271,19 @@ def _bars_profile(spark, sf, cfg=FIXTURE):
     return P.volume_profile(C.completed(candles(spark, sf, 300), ntz(AS_OF_TEXT)), cfg, ntz(AS_OF_TEXT))
 
 
+@query("profile_incremental", f"WITH {sql_candles('c5', 300)}, {SQL_PROFILE} SELECT product_id, slot, {d6('median_volume')}, n_days, note FROM prof")
+def _profile_incremental(spark, sf):
+    """The profile after 26 days at once and four more, one by one."""
+    store = Store(spark, f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}")
+    store.merge(candles(spark, sf, 300))
+    kept = ProfileStore(spark, f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}")
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    kept.add(store.read(), FIXTURE, day(0), day(25))
+    for k in range(26, 30):
+        kept.add(store.read(), FIXTURE, day(k))
+    return show(kept.profile(FIXTURE, day(30), store.read().select("product_id").distinct()))
+
+
 @query("profile_status", f"""WITH {sql_candles("c5", 300)},
 x AS (SELECT product_id, count(DISTINCT CAST(ts_start + INTERVAL 5 MINUTES AS DATE)) AS n FROM c5 WHERE ts_start + INTERVAL 5 MINUTES < TIMESTAMP '2024-01-07'
   AND (product_id <> 'click' OR ts_start >= TIMESTAMP '2024-01-05') GROUP BY 1)
@@ -389,15 +404,26 @@ def _excluded(spark, sf):
     return U.universe_meta(U.catalog_from_parts(spark, sf), _CFG)
 
 
-@query("env_universe_split", "SELECT * FROM (VALUES ('AAA-USD', 'AAA', 'USD', 'env'), ('BBB-EUR-X', 'BBB', 'EUR', 'env')) t(id, base, quote, status)")
+SQL_PART_IDS = """SELECT DISTINCT upper(p_type) || '-' || list_extract(['USD', 'usdt', 'USDC', 'EUR', ''], CAST(p_partkey % 5 + 1 AS BIGINT)) || CASE WHEN p_partkey % 13 = 0 THEN '-X' ELSE '' END AS id FROM part
+  UNION SELECT DISTINCT p_type FROM part"""
+
+
+@query("env_universe_split", f"SELECT id, split_part(id, '-', 1) AS base, split_part(id, '-', 2) AS quote, 'env' AS status FROM ({SQL_PART_IDS}) WHERE contains(id, '-')")
 def _env(spark, sf):
-    return U.env_universe(spark, Settings(crypto_universe=("AAA-USD", "NODASH", "BBB-EUR-X")))
+    """Ids of the parts as a configured universe: some have a third piece, some no dash."""
+    parts = U.catalog_from_parts(spark, sf)
+    ids = parts.select(F.concat("id", F.when(F.col("p_partkey") % 13 == 0, "-X").otherwise("")).alias("id"))
+    plain = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_type").alias("id"))
+    return U.env_universe(spark, _CFG, ids.unionByName(plain).distinct())
 
 
-@query("fallback_universe", "SELECT count(*) AS n, 'BTC-USD' AS first_id, 'DOGE-USDC' AS last_id FROM range(44)")
+@query("fallback_universe", f"""SELECT id, split_part(id, '-', 1) AS base, split_part(id, '-', 2) AS quote, 'fallback' AS status, CAST(list_position({U.PRIORITY}, id) - 1 AS INTEGER) AS rank
+  FROM (SELECT DISTINCT list_extract({U.PRIORITY}, CAST(p_partkey * 7 % 60 + 1 AS BIGINT)) AS id FROM part WHERE p_size > 25) WHERE id IS NOT NULL""")
 def _fallback(spark, sf):
-    f = U.fallback_universe(spark, _CFG)
-    return f.agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("first_id"), F.max_by("id", "rank").alias("last_id"))
+    """The priority list where the catalog is down, of it the products that the larger parts name."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").where("p_size > 25")
+    known = parts.select(F.try_element_at(F.array(*map(F.lit, U.PRIORITY)), (F.col("p_partkey") * 7 % 60 + 1).cast("int")).alias("id")).distinct()
+    return U.fallback_universe(spark, _CFG, known)
 
 
 @query("universe_cache_check", "SELECT true AS fresh, true AS truncated, false AS usable")
