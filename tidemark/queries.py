@@ -24,6 +24,7 @@ from .schemas import CANDLES, FEATURES
 from .sources import candles as C
 from .sources.tables import shared_folder, written
 from .sources.versions import Store
+from .streaming.benchmark import with_live_benchmark
 from .streaming.features import running_features, state_settings
 from .streaming.indicators import running_indicators
 
@@ -704,6 +705,36 @@ def _stream_features(spark, sf):
     return show(spark.read.schema(out_schema).parquet(f"{root}/out").select("product_id", "ts_end", *FEATURES))
 
 
+@query("stream_benchmark", f"""WITH {sql_features()},
+v AS (SELECT ts_end, i, ret_30m FROM f WHERE product_id = 'view'),
+o AS (SELECT * FROM v WHERE i % 7 <> 3),
+mark AS (SELECT least((SELECT max(ts_end) FROM f WHERE ts_end < TIMESTAMP '2024-01-12'), (SELECT max(ts_end) FROM o WHERE ts_end < TIMESTAMP '2024-01-12' AND i % 5 <> 1)) - INTERVAL 6 HOURS AS w),
+b AS (SELECT ts_end, ret_30m FROM o, mark WHERE NOT (i % 5 = 1 AND ts_end <= w))
+SELECT f.product_id, {t19('f.ts_end', 'ts_end')}, round(f.ret_30m, 6) + 0.0 AS ret_30m, round(coalesce(b.ret_30m, 0), 6) + 0.0 AS bench_ret_30m FROM f LEFT JOIN b ON b.ts_end = f.ts_end""")
+def _stream_benchmark(spark, sf):
+    """Feature rows beside the benchmark's, in three batches. Every seventh bar of the benchmark is missing; every fifth of the
+    first period comes with the third: too late, but for its last six hours. The watermark of a batch holds from the next one on, so
+    those rows still wait while the second period is read."""
+    root = f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}"
+    rows = written(features(spark, sf).select("product_id", "ts_end", "ret_30m", "i"), "rows")
+    bench = rows.where("product_id = 'view' AND i % 7 <> 3")
+    days = [ntz(f"{d} 00:00:00") for d in ("2024-01-01", "2024-01-12", "2024-01-21", "2024-02-01")]
+    late = (F.col("i") % 5 == 1) & (F.col("ts_end") < days[1])
+    # a last row of either side, a month on, lets the watermark pass all others
+    end = lambda df: df.limit(1).select(*[F.lit("end").alias(c) if c == "product_id" else (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias(c) if c == "ts_end" else F.col(c)) for c in df.columns])
+    parts = lambda df: [df.where((F.col("ts_end") >= a) & (F.col("ts_end") < b)) for a, b in zip(days, days[1:], strict=False)]
+    first, second, third = parts(bench)
+    sides = {"rows": [*parts(rows), end(rows)], "bench": [first.where(~late), second, third.unionByName(first.where(late)), end(rows)]}
+    for name, files in sides.items():
+        for k, part in enumerate(files):
+            part.drop("i").coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{root}/{name}")
+    schema = rows.drop("i").schema
+    read = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+    out = with_live_benchmark(read("rows"), read("bench"), late="6 hours").writeStream.outputMode("append").option("checkpointLocation", f"{root}/state")
+    out.trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).start().awaitTermination()
+    return show(spark.read.parquet(f"{root}/out").where("product_id <> 'end'").select("product_id", "ts_end", "ret_30m", "bench_ret_30m"))
+
+
 # ---- versions ------------------------------------------------------------------------------
 
 @query("store_versions", f"""WITH {sql_candles("c", 300)},
