@@ -128,9 +128,20 @@ def test_platt_by_sums_uses_all_rows(spark):
     rng = np.random.default_rng(3)
     p = rng.random(2000)
     y = (rng.random(2000) < p**2).astype(int)
-    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int")
-    want, got = T.fit_platt(p, y), T.fit_platt_rows(df, "p", "y")
-    assert (got.slope, got.shift) == pytest.approx((want.slope, want.shift))
+    group = rng.integers(0, 16, 2000)
+    y = np.where(group == 5, 1 - y, y)  # groups differ
+    df = spark.createDataFrame([(int(g), float(a), int(b)) for g, a, b in zip(group, p, y, strict=True)], "g int, p double, y int")
+    spark.sparkContext.setJobGroup("platt", "")
+    try:
+        got = T.fit_platt_groups(df, "g", "p", "y")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(got) == list(range(16))
+    for g, c in got.items():
+        want = T.fit_platt(p[group == g], y[group == g])
+        assert (c.slope, c.shift) == pytest.approx((want.slope, want.shift))
+    # a write and a few steps for all groups, a step being two jobs at most
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("platt")) <= 20
 
 
 def test_lr_probs_trains_the_default_grid_for_both_targets(spark, monkeypatch):

@@ -22,6 +22,8 @@ MAX_ITERATIONS = 4000
 SPLINED = ("time_remaining_frac", "rvol_tod", "vwap_loc", "donch_dist")
 KNOTS, DEGREE = 5, 3
 SCORE_RANGES = 4096
+#: Steps of Newton's method at most, and the change of a parameter that ends it.
+NEWTON_STEPS, NEWTON_END = 100, 1e-10
 #: Fixed value: the blend weight of a bundle without one.
 DEFAULT_ALPHA = 0.8
 
@@ -217,45 +219,52 @@ def fit_raw(train: DataFrame, y: str, c: float, l1: float, scale: dict[str, list
     return Pipeline(stages=stages).fit(wide)
 
 
-def _newton(sums, c: float) -> Calibrator:
-    """sums(a, b) -> totals of (q - y) x, q - y, s x x, s x and s over all rows; penalty 1/c on the slope."""
-    a, b = 0.0, 0.0
-    for _ in range(100):
-        gx, g, sxx, sx, s = sums(a, b)
-        d = np.linalg.solve(np.array([[sxx + 1 / c, sx], [sx, s]]), np.array([gx + a / c, g]))
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-10:
-            break
-    return Calibrator("platt", float(a), float(b))
+def _step(params: tuple[float, float], sums: tuple, c: float) -> tuple[float, float]:
+    """One step of Newton's method from the totals of (q - y) x, q - y, s x x, s x and s; penalty 1/c on the slope."""
+    (a, b), (gx, g, sxx, sx, s) = params, sums
+    d = np.linalg.solve(np.array([[sxx + 1 / c, sx], [sx, s]]), np.array([gx + a / c, g]))
+    return a - d[0], b - d[1]
 
 
 def fit_platt(p: np.ndarray, y: np.ndarray, c: float = 1.0) -> Calibrator:
     """Logistic regression on the logit of p, penalty 1/c on the slope."""
     x = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1 - 1e-6))
-
-    def sums(a: float, b: float):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
+    now = (0.0, 0.0)
+    for _ in range(NEWTON_STEPS):
+        q = 1 / (1 + np.exp(-np.clip(now[0] * x + now[1], -35, 35)))
         s = q * (1 - q) + 1e-12
-        return ((q - y) * x).sum(), (q - y).sum(), (s * x * x).sum(), (s * x).sum(), s.sum()
+        before, now = now, _step(now, (((q - y) * x).sum(), (q - y).sum(), (s * x * x).sum(), (s * x).sum(), s.sum()), c)
+        if max(abs(now[0] - before[0]), abs(now[1] - before[1])) < NEWTON_END:
+            break
+    return Calibrator("platt", float(now[0]), float(now[1]))
 
-    return _newton(sums, c)
 
+def fit_platt_groups(df: DataFrame, group: str, p: str, y: str, c: float = 1.0) -> dict[int, Calibrator]:
+    """fit_platt of the rows of every group at once; group is a small number from 0 on.
 
-def fit_platt_rows(df: DataFrame, p: str, y: str, c: float = 1.0) -> Calibrator:
-    """fit_platt over all rows of df by sums; only the five totals of a step reach the driver."""
-    x = F.col("_x")
+    A step is one aggregate over all rows, whatever the number of groups: five totals a group reach the driver, and the
+    next parameters are looked up by group. Groups that have converged take no further part."""
     p_ = clip(F.col(p), 1e-6, 1 - 1e-6)
-    rows = df.select(F.log(p_ / (1 - p_)).alias("_x"), F.col(y).cast("double").alias("_y")).persist()
-
-    def sums(a: float, b: float):
-        q = 1 / (1 + F.exp(-clip(a * x + b, -35.0, 35.0)))
-        s, g = q * (1 - q) + 1e-12, q - F.col("_y")
-        return tuple(rows.agg(*[F.sum(v).alias(str(i)) for i, v in enumerate((g * x, g, s * x * x, s * x, s))]).first())
-
-    try:
-        return _newton(sums, c)
-    finally:
-        rows.unpersist()
+    rows = written(df.select(F.col(group).alias("k"), F.log(p_ / (1 - p_)).alias("x"), F.col(y).cast("double").alias("y")), "platt")
+    params: dict[int, tuple[float, float]] = {}
+    open_: set[int] | None = None
+    for _ in range(NEWTON_STEPS):
+        if open_ is not None and not open_:
+            break
+        last = max(params, default=0)
+        at = lambda i: F.coalesce(F.get(F.array(*[F.lit(params.get(k, (0.0, 0.0))[i]) for k in range(last + 1)]), F.col("k")), F.lit(0.0))  # noqa: B023, E731
+        x = F.col("x")
+        q = 1 / (1 + F.exp(-clip(at(0) * x + at(1), -35.0, 35.0)))
+        own = (rows if open_ is None else rows.where(F.col("k").isin(*open_))).withColumn("q", q)
+        s, g = F.col("q") * (1 - F.col("q")) + 1e-12, F.col("q") - F.col("y")
+        totals = own.groupBy("k").agg(*[F.sum(v).alias(f"s{i}") for i, v in enumerate((g * x, g, s * x * x, s * x, s))]).collect()  # a row for each group
+        open_ = set()
+        for r in totals:
+            before = params.get(r["k"], (0.0, 0.0))
+            now = params[r["k"]] = _step(before, tuple(r[f"s{i}"] for i in range(5)), c)
+            if max(abs(now[0] - before[0]), abs(now[1] - before[1])) >= NEWTON_END:
+                open_.add(r["k"])
+    return {k: Calibrator("platt", float(a), float(b)) for k, (a, b) in params.items()}
 
 
 def fit_isotonic(df: DataFrame, p: str, y: str) -> Calibrator:
@@ -268,6 +277,7 @@ def fit_isotonic(df: DataFrame, p: str, y: str) -> Calibrator:
 
 
 def calibrated(df: DataFrame, cals: dict[int, Calibrator]) -> Column:
+    """p_raw after the calibrator of its bucket."""
     out = F.col("p_raw")
     for b, c in cals.items():
         if c.kind != "identity":
@@ -276,47 +286,63 @@ def calibrated(df: DataFrame, cals: dict[int, Calibrator]) -> Column:
 
 
 def fit_target(split: DataFrame, y: str, cfg: Settings) -> Bundle:
-    """Grid of C and l1 ratio; calibrators, priors and blend by the validation Brier score."""
+    """Grid of C and l1 ratio; calibrators, priors and blend by the validation Brier score.
+
+    The raw probabilities of all grid points go into one table; Platt's parameters of all points and buckets come from the same
+    steps, the choices among calibrators from one aggregate, those among blends from another."""
     parts = {s: split.where(F.col("split") == s) for s in ("train", "cal", "val")}
     n = parts["train"].count()
     span = parts["train"].agg(*[F.min(f).alias(f"lo_{f}") for f in SPLINED], *[F.max(f).alias(f"hi_{f}") for f in SPLINED]).first()
     scale = {f: [float(span[f"lo_{f}"] or 0), float(span[f"hi_{f}"] or 0)] for f in SPLINED}
     priors = {r["bucket"]: r["prior"] for r in bucket_priors(split.where("split <> 'val'"), y).collect()}
     prior = F.coalesce(*[F.when(bucket4(F.col("time_remaining_frac")) == b, F.lit(v)) for b, v in priors.items()])
-    best, best_brier = None, float("inf")
-    for c in cfg.enet_c_values:
-        for l1 in cfg.enet_l1_values:
-            pipeline = fit_raw(parts["train"], y, c, l1, scale, n)
-            steps = int(pipeline.stages[-1].summary.totalIterations)
-            cal, val = (_raw(pipeline, parts[s], scale).select("time_remaining_frac", "p_raw", y).persist() for s in ("cal", "val"))
-            cals = _calibrators(cal, val, y, cfg)
-            blended = val.withColumns({"p_cal": calibrated(val, cals), "_prior": prior})
-            pick = best_alpha(blended, y, "p_cal", "_prior", cfg.prior_alpha_values).first()
-            if pick["brier"] < best_brier:
-                final = blended.withColumn("_p", pick["alpha"] * F.col("p_cal") + (1 - pick["alpha"]) * F.col("_prior"))
-                metrics = {"C": c, "l1_ratio": l1, "alpha": pick["alpha"], "iterations": steps, "converged": steps < MAX_ITERATIONS, "brier": pick["brier"], "auc": roc_auc(final, y, "_p").first()["auc"]}
-                best, best_brier = Bundle(pipeline, scale, cals, priors, pick["alpha"], metrics), pick["brier"]
-            cal.unpersist(), val.unpersist()
-    return best
-
-
-def _calibrators(cal: DataFrame, val: DataFrame, y: str, cfg: Settings) -> dict[int, Calibrator]:
-    """Per bucket: identity with few samples or one class; Platt; isotonic if enough samples and better."""
-    b = bucket4(F.col("time_remaining_frac"))
-    stats = lambda df: {r["b"]: r for r in df.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(y).alias("k")).collect()}
-    sc, sv, out = stats(cal), stats(val), {}
-    for k in range(4):
-        nc, nv = sc.get(k), sv.get(k)
-        if not nc or not nv or nc["n"] < 20 or nv["n"] < 20 or nc["k"] < 2 or nv["k"] < 2:
-            out[k] = Calibrator()
-            continue
-        own_cal, own_val = cal.where(b == k), val.where(b == k)
-        platt = fit_platt_rows(own_cal, "p_raw", y)
-        tries = [platt]
-        if nc["n"] >= cfg.calib_min_bucket_samples:
-            tries.append(fit_isotonic(own_cal, "p_raw", y))
-        scores = own_val.agg(*[F.avg(F.pow(c.apply(F.col("p_raw")) - F.col(y), F.lit(2.0))).alias(str(i)) for i, c in enumerate(tries)]).first()
-        out[k] = tries[1] if len(tries) == 2 and scores[1] + 1e-9 < scores[0] else platt
+    grid = [(c, l1) for c in cfg.enet_c_values for l1 in cfg.enet_l1_values]
+    pipelines = [fit_raw(parts["train"], y, c, l1, scale, n) for c, l1 in grid]
+    held = split.where("split <> 'train'")
+    raw = None
+    for g, pipeline in enumerate(pipelines):
+        own = _raw(pipeline, held, scale).select(F.lit(g).alias("g"), "split", "time_remaining_frac", "p_raw", F.col(y).alias("y"))
+        raw = own if raw is None else raw.unionByName(own)
+    raw = written(raw.withColumn("k", F.col("g") * 4 + bucket4(F.col("time_remaining_frac"))), "raw")
+    cals = _calibrators(raw, cfg)
+    val = raw.where("split = 'val'")
+    blended = val.withColumns({"p_cal": clip(_by_group(cals), 0.0, 1.0), "_prior": prior})
+    error = lambda a: F.avg(F.pow(a * F.col("p_cal") + (1 - a) * F.col("_prior") - F.col("y"), F.lit(2.0)))
+    tried = blended.groupBy("g").agg(*[error(a).alias(f"b{i}") for i, a in enumerate(cfg.prior_alpha_values)]).collect()
+    if not tried:
+        raise ValueError("no_validation_rows")
+    brier, g, i = min((r[f"b{i}"], r["g"], i) for r in tried for i in range(len(cfg.prior_alpha_values)))
+    alpha, steps = float(cfg.prior_alpha_values[i]), int(pipelines[g].stages[-1].summary.totalIterations)
+    final = blended.where(F.col("g") == g).withColumn("_p", alpha * F.col("p_cal") + (1 - alpha) * F.col("_prior"))
+    metrics = {"C": grid[g][0], "l1_ratio": grid[g][1], "alpha": alpha, "iterations": steps, "converged": steps < MAX_ITERATIONS, "brier": brier, "auc": roc_auc(final, "y", "_p").first()["auc"]}
+    return Bundle(pipelines[g], scale, {b: cals[4 * g + b] for b in range(4)}, priors, alpha, metrics)
+
+
+def _calibrators(raw: DataFrame, cfg: Settings) -> dict[int, Calibrator]:
+    """Of every grid point and bucket (k): identity with few samples or one class; Platt; isotonic if enough samples and better."""
+    stats = {(r["k"], r["split"]): r for r in raw.groupBy("k", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("c")).collect()}  # two rows a group
+    enough = lambda k, s: (k, s) in stats and stats[k, s]["n"] >= 20 and stats[k, s]["c"] > 1
+    every = range(4 * (1 + max((k for k, _ in stats), default=0) // 4))
+    used = [k for k in every if enough(k, "cal") and enough(k, "val")]
+    out = {k: Calibrator() for k in every}
+    if not used:
+        return out
+    cal = raw.where((F.col("split") == "cal") & F.col("k").isin(*used))
+    platt = fit_platt_groups(cal, "k", "p_raw", "y")
+    tries = {k: [platt[k]] + [fit_isotonic(cal.where(F.col("k") == k), "p_raw", "y")] * (stats[k, "cal"]["n"] >= cfg.calib_min_bucket_samples) for k in used}
+    val = raw.where((F.col("split") == "val") & F.col("k").isin(*used))
+    error = lambda i: F.avg(F.pow(_by_group({k: t[min(i, len(t) - 1)] for k, t in tries.items()}) - F.col("y"), F.lit(2.0)))
+    for r in val.groupBy("k").agg(error(0).alias("e0"), error(1).alias("e1")).collect():
+        own = tries[r["k"]]
+        out[r["k"]] = own[1] if len(own) == 2 and r["e1"] + 1e-9 < r["e0"] else own[0]
+    return out
+
+
+def _by_group(cals: dict[int, Calibrator]) -> Column:
+    out = F.col("p_raw")
+    for k, c in cals.items():
+        if c.kind != "identity":
+            out = F.when(F.col("k") == k, c.apply(F.col("p_raw"))).otherwise(out)
     return out
 
 
