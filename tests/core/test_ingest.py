@@ -99,6 +99,39 @@ def test_a_failing_product_costs_itself_only(spark, tmp_path, server):
     assert source == "env" and [r["id"] for r in own.collect()] == ["Q-USD"]
 
 
+def test_training_is_due_once_and_takes_the_candles_it_needs(spark, tmp_path, server, monkeypatch):
+    cfg = Settings(benchmark_symbol="A-USD", max_rps=500.0, auto_train_lookback_days=0, auto_train_max_products=2)
+    store, root, seen = Store(spark, f"{tmp_path}/store"), f"{tmp_path}/models", []
+    monkeypatch.setattr(N, "retrain", lambda p, five, one, *a, **k: seen.append((p.count(), five.count(), one.count(), k["auto"])) or {"last_error": None})
+    assert I.auto_train(spark, cfg, store, server.url, root, NOW, allowed=False) is None and not server.asked
+    assert I.auto_train(spark, cfg, store, server.url, root, NOW) == {"last_error": None}
+    assert seen == [(3, 2 * 576, 2 * 2880, True)]  # two of three products, A and B, for two days
+    assert I.auto_train(spark, cfg, store, server.url, root, NOW + dt.timedelta(minutes=59)) is None
+    assert I.auto_train(spark, cfg, store, server.url, root, NOW + dt.timedelta(minutes=61)) is not None
+    monkeypatch.setattr(N, "load_models", lambda *a: {k: (object(), "ok") for k in N.MODELS})
+    assert I.auto_train(spark, cfg, store, server.url, root, NOW + dt.timedelta(days=1)) is None
+
+
+def test_serve_scans_at_once_and_tells_what_fails(spark, tmp_path, server, monkeypatch):
+    done = []
+    monkeypatch.setattr(I, "auto_train", lambda *a, **k: None)
+
+    def scan(spark_, cfg, store, url, root, now, **k):
+        done.append(k["models"])
+        raise RuntimeError("no network")
+
+    monkeypatch.setattr(I, "ingest_and_scan", scan)
+    query = I.serve(spark, CFG, Store(spark, f"{tmp_path}/store"), server.url, f"{tmp_path}/root", f"{tmp_path}/check")
+    try:
+        until = time.time() + 60
+        while not snapshots.load_document(spark, f"{tmp_path}/root/scan_status") and time.time() < until:
+            time.sleep(0.2)
+        assert snapshots.load_document(spark, f"{tmp_path}/root/scan_status")["last_error"] == "RuntimeError: no network"
+        assert len(done) == 1 and done[0]["pt1"] == (None, "missing") and query.isActive
+    finally:
+        query.stop()
+
+
 def test_stream_stops_and_starts_again(spark, tmp_path, server):
     begin = int(NOW.timestamp()) - 1000 * 300
     path, checkpoint = f"{tmp_path}/store", f"{tmp_path}/check"
