@@ -29,10 +29,15 @@ def numbered(rows: DataFrame, order: str = "ts_start", out: str = "i") -> DataFr
     return joined.withColumn(out, F.col("_before") + F.col("_at")).drop("_day", "_at", "_p", "_d", "_before")
 
 
-def with_chunks(rows: DataFrame, chunk: int = CHUNK, halo: int = HALO, ahead: int = 0) -> DataFrame:
+def with_chunks(rows: DataFrame, chunk: int | None = CHUNK, halo: int = HALO, ahead: int = 0) -> DataFrame:
     """rows with i, chunk and core (false for rows lent to a neighbouring chunk).
 
-    halo: last rows lent to the next chunk; ahead: first rows lent to the one before."""
+    halo: last rows lent to the next chunk; ahead: first rows lent to the one before. Where a product is
+    known to have few rows, chunk None makes it one chunk, without counts and a join."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if chunk is None:
+        at = F.row_number().over(Window.partitionBy("product_id").orderBy("ts_start")) - 1
+        return rows.repartition(tasks, "product_id").withColumns({"i": at.cast("long"), "chunk": F.lit(0), "core": F.lit(True)})
     own = F.floor(F.col("i") / chunk).cast("int")
     at = F.col("i") % chunk
     nobody = F.array().cast("array<int>")
@@ -44,4 +49,4 @@ def with_chunks(rows: DataFrame, chunk: int = CHUNK, halo: int = HALO, ahead: in
     out = numbered(rows).withColumn("_own", own).withColumn("chunk", F.explode(lent))
     out = out.withColumn("core", F.col("chunk") == F.col("_own")).drop("_own")
     # a chunk costs CPU, not bytes: as many tasks as configured, which adaptive execution would merge by size
-    return out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "product_id", "chunk")
+    return out.repartition(tasks, "product_id", "chunk")

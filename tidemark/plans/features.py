@@ -72,11 +72,12 @@ def profile_array(profile: DataFrame) -> DataFrame:
     return held.select("product_id", F.transform(F.sequence(F.lit(0), F.lit(287)), lambda k: F.try_element_at("m", k)).alias("slot_median_volume"), "n_days")
 
 
-def indicators(candles: DataFrame, cfg: Settings, as_of: Column, *, profile: DataFrame | None = None, bench: DataFrame | float | None = None, chunk: int = CHUNK) -> DataFrame:
+def indicators(candles: DataFrame, cfg: Settings, as_of: Column, *, profile: DataFrame | None = None, bench: DataFrame | float | None = None, chunk: int | None = CHUNK) -> DataFrame:
     """Feature rows of 5-minute candles: product_id, ts_end, the 25 columns, and row number i.
 
     profile: live mode, relative volume by time of day where the product has a profile; without,
-    the rolling median before the bar. bench: (ts_end, bench_ret_30m) to join, or one value."""
+    the rolling median before the bar. bench: (ts_end, bench_ret_30m) to join, or one value. chunk: rows of a
+    task's series; None where each product has few."""
     bars = completed(keep_last(candles), as_of)
     df = with_chunks(bars, chunk)
     df = trend(df, more=(("close", "_fast", 2 / 13), ("close", "_slow", 2 / 27)))
@@ -160,16 +161,25 @@ def with_one_benchmark(features: DataFrame, bench: DataFrame) -> DataFrame:
     return features.drop("bench_ret_30m").crossJoin(F.broadcast(one))  # one row
 
 
+def last_return(candles: DataFrame, as_of: Column, bars: int = 6) -> DataFrame:
+    """(ts_end, ret_30m) of the latest completed bar of one product's few candles; no row without candles."""
+    own = Window.partitionBy("product_id").orderBy("ts_start")
+    ret = F.coalesce(F.try_divide("close", F.lag("close", bars).over(own)) - 1, F.lit(0.0))
+    rows = completed(keep_last(candles), as_of).select("ts_end", ret.alias("ret_30m"))
+    return rows.agg(F.max_by(F.struct("ts_end", scrub(F.col("ret_30m")).alias("ret_30m")), "ts_end").alias("r")).where("r IS NOT NULL").select("r.*")
+
+
 def latest_features(candles: DataFrame, cfg: Settings, as_of: Column, **more) -> DataFrame:
     """last_bars of the indicators, from the last days of each product that hold the rows its windows reach.
 
-    Counts per day say where those days begin, so no window runs over a whole history."""
+    Counts per day say where those days begin, so no window runs over a whole history; what is left of a product
+    is REACH rows and the rest of a day, one task's series."""
     bars = completed(keep_last(candles), as_of).withColumn("_day", F.to_date("ts_start"))
     per_day = bars.groupBy("product_id", "_day").agg(F.count(F.lit(1)).alias("n"))
     after = F.sum("n").over(Window.partitionBy("product_id").orderBy(F.col("_day").desc())) - F.col("n")
     cut = per_day.withColumn("after", after).groupBy(F.col("product_id").alias("_p")).agg(F.min(F.when(F.col("after") < REACH, F.col("_day"))).alias("_from"), F.sum("n").alias("n_bars"))
     recent = bars.join(cut, (F.col("product_id") == F.col("_p")) & (F.col("_day") >= F.col("_from"))).select(*candles.columns)
-    last = last_bars(indicators(recent, cfg, as_of, **more)).drop("n_bars")
+    last = last_bars(indicators(recent, cfg, as_of, chunk=None, **more)).drop("n_bars")
     return last.join(cut.select("_p", "n_bars"), F.col("product_id") == F.col("_p")).drop("_p")
 
 

@@ -12,7 +12,7 @@ from ..config import Settings
 from ..sources import snapshots
 from ..sources.tables import written
 from . import scoring, training
-from .features import latest_features, with_one_benchmark
+from .features import indicators, last_bars, last_return, with_one_benchmark
 
 #: Hours of 5-minute bars that a scan reads, of all products and of the benchmark.
 LOOKBACK_HOURS, BENCHMARK_HOURS = 48, 12
@@ -71,9 +71,10 @@ def scan(products: DataFrame, candles: DataFrame, cfg: Settings, scan_time: Colu
 
     Only candles of the lookback are read; where candles have a day column, as the store's do, other days are pruned. profile:
     the products' volume profiles; failures: (product_id, error) of products whose candles could not be fetched."""
-    bench = latest_features(lookback(candles, scan_time, BENCHMARK_HOURS).where(F.col("product_id") == cfg.benchmark_symbol), cfg, scan_time)
-    own = lookback(candles, scan_time, LOOKBACK_HOURS)
-    feats = with_one_benchmark(latest_features(own, cfg, scan_time, profile=profile), bench)
+    own = written(lookback(candles, scan_time, LOOKBACK_HOURS), "lookback")  # read for features, presence and the benchmark
+    bench = last_return(lookback(own, scan_time, BENCHMARK_HOURS).where(F.col("product_id") == cfg.benchmark_symbol), scan_time)
+    feats = last_bars(indicators(own, cfg, scan_time, profile=profile, chunk=None))  # 576 bars a product at most
+    feats = with_one_benchmark(feats, bench)
     scanned, source = with_probabilities(scoring.scan_status(products, feats, cfg, scan_time, own, failures), models or {})
     scanned = written(scanned, "scanned")  # a row for each product, read by four results
     mismatch = source == MISMATCH

@@ -21,7 +21,6 @@ from .labels import labels
 MAX_ITERATIONS = 4000
 SPLINED = ("time_remaining_frac", "rvol_tod", "vwap_loc", "donch_dist")
 KNOTS, DEGREE = 5, 3
-SCORE_RANGES = 4096
 #: Steps of Newton's method at most, and the change of a parameter that ends it.
 NEWTON_STEPS, NEWTON_END = 100, 1e-10
 #: Fixed value: the blend weight of a bundle without one.
@@ -67,9 +66,13 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the curve by counts per distinct score; null with one class only.
 
-    Scores fall into SCORE_RANGES ranges of [0, 1]; only the ranges' counts meet in one task."""
-    range_ = F.floor(clip(F.col("p"), 0.0, 1.0) * SCORE_RANGES)
-    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg")).withColumn("range", range_)
+    Distinct scores are cut at their own quantiles, so each task ranks about as many, wherever scores lie; only
+    the ranges' counts meet in one task. Null scores or labels are left out; scores may be any numbers."""
+    known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    per = known.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, so both readers see the same cuts
+    per = written(per.repartitionByRange(ranges, "p").withColumn("range", F.spark_partition_id()), "scores")
     first = per.groupBy("range").agg(F.sum("neg").alias("n"))
     first = first.select(F.col("range").alias("_r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("_before"))
     below = F.sum("neg").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))

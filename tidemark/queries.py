@@ -458,7 +458,7 @@ def _scan_parts(spark, sf):
     c = candles(spark, sf, 300)
     p = F.col("product_id")
     cut = F.when(p == "click", F.col("ts_start") < ntz("2024-01-20 00:00:00")).when(p == "error", F.col("ts_start") < ntz("2024-01-01 02:00:00")).otherwise(True)
-    c = c.where(cut)
+    c = written(c.where(cut), "candles")  # a store's stand-in: counts, features and presence read it
     products = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("none").alias("id")))
     products = products.select("id", F.lit("USD").alias("quote"), F.lit("online").alias("status"))
     return products, P.latest_features(c, SCAN, ntz(AS_OF_TEXT)), c
@@ -559,7 +559,9 @@ SELECT o.*, CASE WHEN product IS NOT NULL THEN rank() OVER (ORDER BY coalesce(pr
 def _scan_live(spark, sf):
     """The whole scan with lookback, live profile, benchmark and a failed product: every product with its score row."""
     products, failed = _scan_inputs(spark, sf)
-    got = N.scan(products, candles(spark, sf, 300), SCAN, ntz(AS_OF_TEXT), profile=_bars_profile(spark, sf, SCAN), failures=failed)
+    stored = written(candles(spark, sf, 300), "candles")
+    profile = written(P.volume_profile(C.completed(stored, ntz(AS_OF_TEXT)), SCAN, ntz(AS_OF_TEXT)), "profile")
+    got = N.scan(products, stored, SCAN, ntz(AS_OF_TEXT), profile=profile, failures=failed)
     place = F.row_number().over(Window.orderBy(F.coalesce("prob_2", F.lit(-1.0)).desc(), F.coalesce("prob_1", F.lit(-1.0)).desc(), "product")).cast("long")  # a row for each product
     more = got.scanned.select("id", "scan_status", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), "bench_ret_30m", "skip_detail")
     rows = show(got.scores).withColumn("place", place)
