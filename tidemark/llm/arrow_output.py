@@ -1,12 +1,13 @@
 """Token ids in the Arrow IPC file format: fixed-size-list rows for zero-copy random access.
 
 Documents are dealt to buckets of ascending ids; one task writes a bucket's files:
-``ids-<bucket>.arrow`` holds rows ``ids: fixed_size_list<uint16|uint32>[length]`` and ``mask:
+``ids-<bucket>-<part>.arrow`` holds rows ``ids: fixed_size_list<uint16|uint32>[length]`` and ``mask:
 fixed_size_list<uint8>[length]`` (mask 0 pads the last row), in batches of ``BATCH_ROWS`` rows, and
-``docs-<bucket>.arrow`` holds (doc_id, start, n_tokens) in the bucket, in batches too. The number of buckets
-follows the bytes of text, and writer and reader hold a batch at a time. Files are written under a
-temporary name and renamed, so a repeated task replaces its file whole. The folder may be in any
-store that pyarrow's file systems and Spark both reach.
+``docs-<bucket>-<part>.arrow`` holds (doc_id, start, n_tokens) in the file, in batches too. The number of buckets
+follows the bytes of text up to BUCKETS; beyond that a bucket has several files of about FILE_TOKENS tokens.
+Writer and reader hold a batch at a time. Files are written under a temporary name and renamed, so a repeated
+task replaces its file whole. The folder may be in any store that pyarrow's file systems and Spark both reach.
+Which files there are stands in a table, ``manifest`` in the folder; the driver sees none of its rows.
 
 Edge cases: null text counts as empty and gives the end id alone; null ids come first; rows that
 repeat an id are ordered by their ids' hash; an empty table writes no file and gives no rows.
@@ -20,10 +21,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_buckets, literal_table, ordered_buckets
+from .common import Scratch, arrow_buckets, ordered_buckets
 from .tokens import default_vocabulary, encoder
 
 LENGTH = 2048
@@ -32,6 +33,9 @@ BATCH_ROWS = 64
 ENCODE_ROWS = 512
 #: More buckets than tasks even out what tasks get; a bucket has about BUCKET_BYTES of text at most.
 BUCKETS_A_TASK, BUCKET_BYTES = 3, 64 << 20
+#: Buckets at most, whose bounds every task holds; tokens after which a bucket's next file begins; reading tasks for each of the
+#: shuffle's tasks at most.
+BUCKETS, FILE_TOKENS, READERS_A_TASK = 65_536, 1 << 25, 64
 #: Rows of a batch of a docs file.
 DOCS_ROWS = 8192
 
@@ -116,14 +120,15 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> list[dict]:
-    """Write all docs in ascending id order below folder; returns one entry per bucket: uri, docs_uri, start, tokens, rows."""
+def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
+    """Write all docs in ascending id order below folder; returns the manifest, one row per file: bucket, part, uri, docs_uri, start,
+    tokens, rows."""
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not buckets:
         size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-        buckets = max(BUCKETS_A_TASK * parts, -(-size // BUCKET_BYTES))
+        buckets = min(max(BUCKETS_A_TASK * parts, -(-size // BUCKET_BYTES)), BUCKETS)
     splits = ordered_buckets(docs, id_col, buckets)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -168,18 +173,24 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
             for sink in now["sinks"]:
                 sink.close()
             for kind in ("ids", "docs"):
-                fs.move(f"{now['tmp']}.{kind}", f"{root}/{kind}-{now['bucket']:06d}.arrow")
-            done.append({"bucket": now["bucket"], "tokens": now["out"].total, "rows": now["rows"]})
+                fs.move(f"{now['tmp']}.{kind}", f"{root}/{kind}-{now['bucket']:06d}-{now['part']:06d}.arrow")
+            done.append({"bucket": now["bucket"], "part": now["part"], "tokens": now["out"].total, "rows": now["rows"]})
             now.clear()
 
+        def manifest() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("tokens", pa.int64()), ("rows", pa.int64())]))
+            done.clear()
+            return rows
+
         for batch in batches:
             for bucket, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
-                if now.get("bucket") != bucket:
+                if now.get("bucket") != bucket or now["out"].total >= FILE_TOKENS:
+                    part = now["part"] + 1 if now.get("bucket") == bucket else 0
                     finish()
                     tmp = f"{root}/.{bucket:06d}-{uuid.uuid4().hex}"
                     sinks = [fs.open_output_stream(f"{tmp}.{kind}") for kind in ("ids", "docs")]
                     schema = pa.schema([("doc_id", batch.schema.field(1).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-                    now.update(bucket=bucket, tmp=tmp, sinks=sinks, out=SequenceWriter(sinks[0], length, dtype), docs=DocsFile(pa.ipc.new_file(sinks[1], schema), schema), rows=0, ids=[], starts=[], lengths=[])
+                    now.update(bucket=bucket, part=part, tmp=tmp, sinks=sinks, out=SequenceWriter(sinks[0], length, dtype), docs=DocsFile(pa.ipc.new_file(sinks[1], schema), schema), rows=0, ids=[], starts=[], lengths=[])
                 ids = np.frombuffer(unpress.decompress(blob.as_buffer()), dtype)
                 now["ids"].append(doc)
                 now["starts"].append(now["out"].total)
@@ -187,22 +198,30 @@ def write_sequences(docs: DataFrame, folder: str, *, length: int = LENGTH, end_i
                 now["out"].append(ids)
                 if len(now["ids"]) >= DOCS_ROWS:
                     flush()
+            if len(done) >= DOCS_ROWS:
+                yield manifest()
         finish()
         if done:
-            yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("rows", pa.int64())]))
+            yield manifest()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.mapInArrow(encode, f"bucket int, doc_id {kind}, tie long, ids binary").repartition(parts, "bucket")
-    written = dealt.sortWithinPartitions("bucket", "doc_id", "tie").mapInArrow(write, "bucket int, tokens long, rows long")
-    out, start = [], 0
-    for r in sorted(written.collect(), key=lambda r: r["bucket"]):  # one row per bucket
-        out.append({"uri": f"{folder}/ids-{r['bucket']:06d}.arrow", "docs_uri": f"{folder}/docs-{r['bucket']:06d}.arrow", "start": start, "tokens": r["tokens"], "rows": r["rows"]})
-        start += r["tokens"]
-    return out
-
-
-def read_documents(spark: SparkSession, files: list[dict], id_type: str = "bigint") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the written files alone."""
+    written = dealt.sortWithinPartitions("bucket", "doc_id", "tie").mapInArrow(write, "bucket int, part int, tokens long, rows long")
+    written.write.parquet(f"{folder}/manifest/sizes")
+    sizes = spark.read.schema(written.schema).parquet(f"{folder}/manifest/sizes")
+    # what lies before a bucket from the sums of BUCKETS buckets at most, what lies before a file from its bucket's files
+    sums = sizes.groupBy(F.col("bucket").alias("_b")).agg(F.sum("tokens").alias("_all"))
+    sums = sums.select("_b", (F.sum("_all").over(Window.orderBy("_b")) - F.col("_all")).alias("_before"))
+    own = F.sum("tokens").over(Window.partitionBy("bucket").orderBy("part")) - F.col("tokens")
+    uri = lambda kind: F.format_string(f"%s/{kind}-%06d-%06d.arrow", F.lit(folder), "bucket", "part")
+    files = sizes.join(F.broadcast(sums), F.col("bucket") == F.col("_b"))
+    files = files.select("bucket", "part", uri("ids").alias("uri"), uri("docs").alias("docs_uri"), (F.col("_before") + own).alias("start"), "tokens", "rows")
+    files.write.parquet(f"{folder}/manifest/files")
+    return spark.read.schema(files.schema).parquet(f"{folder}/manifest/files")
+
+
+def read_documents(files: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the manifest and the written files alone."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +236,13 @@ def read_documents(spark: SparkSession, files: list[dict], id_type: str = "bigin
                         crcs = [zlib.crc32(ids.tokens(a, m).astype("<u4").tobytes()) for a, m in zip(start.tolist(), n.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(start + r["start"]), part.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = literal_table(spark, files, "uri string, docs_uri string, start bigint")
-    return listed.repartition(max(1, len(files)), "uri").mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(files.count(), READERS_A_TASK * parts))
+    listed = files.select("uri", "docs_uri", "start").repartition(tasks, "uri")
+    return listed.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_arrow_output(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     files = write_sequences(docs, Scratch(spark, "arrow").path("sequences"))
-    return read_documents(spark, files)
+    return read_documents(files)
