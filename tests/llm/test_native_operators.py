@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
+from tidemark.llm import sharding
 from tidemark.llm.mixing import mix, op6_mixing
 from tidemark.llm.secrets import BASE_RULES, RULES, op10_secrets, redact, scan_secrets, trigram_query
-from tidemark.llm.sharding import communication_matrix, hypergeometric, op4_sharding, shuffle_shards
+from tidemark.llm.sharding import blocks_for, communication_matrix, hypergeometric, op4_sharding, shuffle_shards
 
 
 def fill(sizes: list[int], weights: list[int], epochs: int) -> list[float]:
@@ -186,3 +187,13 @@ def test_trigram_queries():
     for text in ("password=", "api_key :", "APIKEY'"):
         low = text.lower()
         assert all(any(all(t in low for t in alt) for alt in clause) for clause in q)
+
+
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    assert blocks_for(0) == 1024 and blocks_for(4_096_000_001) == 2048 and blocks_for(10**13) == 16_384
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"))
+    for name, value in (("BLOCKS", 2), ("MOST_BLOCKS", 16), ("RANGES", 1), ("TASK_ROWS", 400)):
+        monkeypatch.setattr(sharding, name, value)
+    got = shuffle_shards(rows, ["doc_id"], shards=4).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000))
+    assert [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(4)] == [list(range(750))] * 4

@@ -1,8 +1,9 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Rows fall into a fixed number of blocks by a seeded hash; one aggregate counts the blocks.
+1. Rows fall into blocks by a seeded hash; one aggregate counts them, in MOST_BLOCKS parts that add up
+   to as many blocks as the rows need.
 2. The driver draws the blocks x shards matrix of row counts (multivariate hypergeometric: rows
-   sum to block counts, columns to the exact shard sizes). Its size is fixed by parameters.
+   sum to block counts, columns to the exact shard sizes). It has MOST_BLOCKS rows at most.
 3. Local permutation: rows of a block in seeded random order are cut into runs of the drawn counts.
 4. Exchange, and a second permutation: a shard's slots follow a fresh random key; counts per
    (shard, key range) give each range its offset, so no task ever orders a whole shard.
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_name, literal_table
 
 SHARDS = 16
-BLOCKS = 1024
+#: Blocks at least and at most, both powers of two; key ranges of a shard at least; rows that a block or a range should
+#: have at most, until there are MOST_BLOCKS blocks.
+BLOCKS, MOST_BLOCKS = 1024, 16_384
 RANGES = 256
+TASK_ROWS = 4_000_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -61,18 +65,32 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return out
 
 
-def shuffle_shards(df: DataFrame, key: list[str], *, shards: int = SHARDS, blocks: int = BLOCKS, ranges: int = RANGES, seed: int = 23) -> DataFrame:
+def blocks_for(rows: int) -> int:
+    """The least power of two from BLOCKS to MOST_BLOCKS with at most TASK_ROWS rows a block, if there is one."""
+    blocks = BLOCKS
+    while blocks < MOST_BLOCKS and blocks * TASK_ROWS < rows:
+        blocks *= 2
+    return blocks
+
+
+def shuffle_shards(df: DataFrame, key: list[str], *, shards: int = SHARDS, blocks: int | None = None, ranges: int | None = None, seed: int = 23) -> DataFrame:
     """df and, last, shard (0..shards-1) and slot (0.. without gaps in each shard), uniformly shuffled.
 
     key: columns that tell rows apart; rows equal in all of them are interchangeable. Underscores go before a
-    name that df has. A task orders the rows of a block, or of a shard's range: choose blocks and ranges by the rows."""
+    name that df has. A task orders the rows of a block, or of a shard's range; both follow the counted rows unless given."""
     spark = df.sparkSession
     scratch = Scratch(spark, "sharding")
     block, at, ends, shard, slot, range_, offset = (free_name(df, n) for n in ("_block", "_at", "_ends", "shard", "slot", "_range", "_offset"))
     salted = lambda k: F.xxhash64(F.lit(seed * 1000 + k), *[F.col(c) for c in key])
-    rows = df.withColumn(block, F.pmod(salted(0), F.lit(blocks)).cast("int"))
-    counts = {r[0]: r[1] for r in rows.groupBy(block).agg(F.count(F.lit(1))).collect()}  # at most `blocks` rows
-    matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
+    part = F.pmod(salted(0), F.lit(blocks or MOST_BLOCKS)).cast("int")
+    parts = df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_BLOCKS rows
+    total = sum(r["n"] for r in parts)
+    blocks, ranges = blocks or blocks_for(total), ranges or max(RANGES, -(-total // (shards * TASK_ROWS)))
+    counts = dict.fromkeys(range(blocks), 0)
+    for r in parts:
+        counts[r["part"] % blocks] += r["n"]
+    rows = df.withColumn(block, (part % blocks).cast("int"))
+    matrix = communication_matrix([counts[b] for b in range(blocks)], shards, seed)
     drawn = literal_table(spark, [{"b": b, "ends": np.cumsum(m).tolist()} for b, m in enumerate(matrix)], "b int, ends array<bigint>")
     drawn = drawn.select(F.struct("b", "ends").alias(ends))
 
