@@ -79,3 +79,21 @@ def test_near_copies_are_found_and_named(spark, tmp_path):
     for k in range(30):
         assert rows[100 * k]["n_near"] == 1 and rows[100 * k + 1]["near_query"] == 100 * k
         assert rows[100 * k + 2]["near_query"] is None and rows[100 * k + 1]["n_near"] is None
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = [(None, "a b c d"), (None, "a b c d"), (1, "e f g"), (1, "e f g"), (1, "h"), (2, "a b c d")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = compared_with_next(frame).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"], r["fingerprint"]) for r in rows) == sorted((d or 0, len(t), fingerprint(t).hex()) for d, t in docs)
+    assert len({r["fingerprint"] for r in rows if r["n_chars"] == 7}) == 1
+
+
+def test_votes_are_exact_in_any_order(monkeypatch):
+    from tidemark.llm import fingerprints as M
+
+    text = " ".join(f"w{i % 700} w{i * 7 % 9001}" for i in range(20_000))
+    want = fingerprint(text)
+    for rows in (1, 7, 1000):
+        monkeypatch.setattr(M, "WEIGHT_ROWS", rows)
+        assert fingerprint(text) == want

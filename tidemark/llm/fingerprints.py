@@ -37,6 +37,9 @@ from .shingles import mix, text_words
 BITS = 128
 RADIUS, NEAR_RADIUS = 3, 23
 RANGES_A_TASK = 3
+#: Weights are whole multiples of 1 / WEIGHT. A block's sum stays below 2**24, so single precision adds exactly, in any
+#: order: machines agree on every bit.
+WEIGHT, WEIGHT_ROWS = 64, 4096
 #: Rows of whole groups and pairs that a search task compares at once.
 SEARCH_ROWS, SEARCH_PAIRS = 65_536, 2_000_000
 
@@ -53,10 +56,11 @@ def fingerprint(text: str) -> bytes:
         if not len(term):
             continue
         raw = np.stack([mix(term ^ np.uint64(0x5851F42D4C957F2D)), mix(term + np.uint64(0x14057B7EF767814F))], axis=1)
-        w = (weight * (1 + np.log(count))).astype(np.float32)
-        for at in range(0, len(term), 8192):
-            bits = np.unpackbits(raw[at : at + 8192].view(np.uint8).reshape(-1, BITS // 8), axis=1)
-            votes += 2.0 * (w[at : at + 8192] @ bits.astype(np.float32)) - w[at : at + 8192].sum()
+        w = np.rint(WEIGHT * weight * (1 + np.log(count))).astype(np.float32)
+        for at in range(0, len(term), WEIGHT_ROWS):
+            own = w[at : at + WEIGHT_ROWS]
+            bits = np.unpackbits(raw[at : at + WEIGHT_ROWS].view(np.uint8).reshape(-1, BITS // 8), axis=1)
+            votes += 2.0 * (own @ bits.astype(np.float32)) - own.sum()
     return np.packbits(votes > 0).tobytes()
 
 
