@@ -11,7 +11,7 @@ from tidemark.config import Settings
 from tidemark.plans import scan as N
 from tidemark.plans import scoring as R
 from tidemark.plans import training as T
-from tidemark.plans.features import indicators, last_bars, latest_features
+from tidemark.plans.features import indicators, last_bars, last_return, latest_features
 from tidemark.schemas import CANDLES, FEATURES
 from tidemark.sources import rest, snapshots
 from tidemark.sources.versions import Log, Store
@@ -97,6 +97,20 @@ def test_latest_features_equal_the_last_bars(spark):
         assert [r[f] for f in FEATURES] == pytest.approx([own[f] for f in FEATURES], rel=1e-9, abs=1e-9)
 
 
+def test_short_series_in_one_chunk_and_the_last_return(spark):
+    short = candles(spark, series("A-USD", 1500), series("B-USD", 7), series("C-USD", 1))
+    get = lambda df: {(r["product_id"], r["ts_end"]): [r[f] for f in FEATURES] + [r["i"]] for r in df.collect()}
+    want, got = get(indicators(short, CFG, at(NOW), chunk=700)), get(indicators(short, CFG, at(NOW), chunk=None))
+    assert got.keys() == want.keys()
+    for k, row in got.items():
+        assert row == pytest.approx(want[k], rel=1e-9, abs=1e-9)
+    last = {r["product_id"]: r for r in last_bars(indicators(short, CFG, at(NOW))).collect()}
+    for p, r in last.items():
+        one = last_return(short.where(F.col("product_id") == p), at(NOW)).first()
+        assert (one["ts_end"], one["ret_30m"]) == (r["ts_end"], pytest.approx(r["ret_30m"], abs=1e-12))
+    assert last_return(short.limit(0), at(NOW)).count() == 0
+
+
 def test_load_bundle_reasons(spark, tmp_path):
     def meta(text):
         log = tmp_path / "m/log"

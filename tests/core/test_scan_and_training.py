@@ -85,6 +85,10 @@ def test_auc_brier_alpha(spark):
     want = np.mean([(p[y == 1] > q).mean() + 0.5 * (p[y == 1] == q).mean() for q in p[y == 0]])
     assert T.roc_auc(df, "y", "p").first()[0] == pytest.approx(want)
     assert T.roc_auc(df.where("y = 1"), "y", "p").first()[0] is None
+    # rare events, scores of any size, nulls
+    odd = df.withColumn("p", F.col("p") * 1e-7 - 3).unionByName(spark.createDataFrame([(1, None), (None, 0.5)], "y int, p double"))
+    assert T.roc_auc(odd, "y", "p").first()[0] == pytest.approx(want)
+    assert T.roc_auc(df.limit(0), "y", "p").first()[0] is None
     assert T.brier(df, "y", "p").first()[0] == pytest.approx(((p - y) ** 2).mean())
     best = T.best_alpha(df.withColumn("q", F.lit(0.4)), "y", "p", "q", (0.9, 0.1, 0.1)).first()
     assert best["alpha"] == min((0.9, 0.1), key=lambda a: ((a * p + (1 - a) * 0.4 - y) ** 2).mean())
